@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def c(x) -> Column:
@@ -33,7 +35,7 @@ def epoch_millis(ts) -> Column:
     """Milliseconds since the epoch of a TIMESTAMP_NTZ value (truncated, as a
     document-store date keeps milliseconds).  Independent of the session time
     zone, unlike ``unix_millis(cast(ts as timestamp))``."""
-    return F.timestamp_diff("MILLISECOND", EPOCH_NTZ, c(ts))
+    return F.timestamp_diff("MILLISECOND", _epoch(), c(ts))
 
 
 def seconds_between(start, end) -> Column:

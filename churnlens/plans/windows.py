@@ -15,9 +15,13 @@ subscriptions).  Both helpers below split such partitions by *range*:
    previous partition for LAG, the running row count for RANK.  It is
    broadcast back.
 
-The range exchange is referenced twice (window and boundary table); Spark
-plans it once and reuses it (``ReusedExchange``), and the range bounds are
-computed from a deterministic sample, so the partition ids agree.
+The range-partitioned rows are referenced twice (window and boundary table).
+Spark's range partitioner seeds its sample with the RDD id, so two
+executions of the same range exchange may draw different bounds; the
+partitioned rows are therefore written once with ``checkpoint()`` (to the
+shared ``spark.checkpoint.dir``) and both branches read that copy.  This also
+cuts the lineage, so a lost executor does not recompute the upstream joins.
+Only the columns the window needs are checkpointed.
 """
 
 from __future__ import annotations
@@ -25,9 +29,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.plans.session import ensure_checkpoint_dir
+
 _PID = "_range_pid"
 
 
+def _range_split(df: DataFrame, p: int, *sort_cols) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(p, *sort_cols).withColumn(_PID, F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -44,7 +56,7 @@ def lag_by_key(df: DataFrame, key: str, order: list[Column | str], lag_cols: dic
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     p = _partitions(df, num_partitions)
-    ranged = df.repartitionByRange(p, F.col(key), *order_cols).withColumn(_PID, F.spark_partition_id())
+    ranged = _range_split(df, p, F.col(key), *order_cols)
 
     w = Window.partitionBy(key, _PID).orderBy(*order_cols)
     local = ranged.withColumn("_rn", F.row_number().over(w))
@@ -72,8 +84,7 @@ def rank_desc(df: DataFrame, group: str, value: str, out: str,
     computed over range partitions, so a group with millions of rows is
     ranked by many tasks."""
     p = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(p, F.col(group), F.col(value).desc_nulls_last())
-              .withColumn(_PID, F.spark_partition_id()))
+    ranged = _range_split(df, p, F.col(group), F.col(value).desc_nulls_last())
     w = Window.partitionBy(group, _PID).orderBy(F.col(value).desc_nulls_last())
     local = ranged.withColumn("_local_rank", F.rank().over(w))
 

@@ -34,6 +34,17 @@ def _register():
     query("monthly_growth_churn")(R.monthly_growth_churn)
     query("duplicate_accounts")(R.duplicate_accounts)
 
+    from churnlens.operators import activity as A
+
+    query("activity_week_preview")(A.q_week_preview)
+    query("sessions_per_user_week")(A.q_sessions)
+    query("feature_dau")(A.q_dau)
+    query("feature_retention")(A.q_retention)
+    query("onboarding_steps")(A.q_onboarding_steps)
+    query("onboarding_funnel")(A.q_onboarding_funnel)
+    query("upsell_targets")(A.q_upsell)
+    query("upsell_company_details")(A.q_upsell_details)
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if not QUERIES:

@@ -17,76 +17,90 @@ aggregation and only a narrow band of values is ever ordered:
    running count over them (a small, bounded window) picks the two order
    statistics exactly, and they are interpolated.
 
-The result is a one-row DataFrame; callers turn its columns into scalar
-subqueries (``DataFrame.scalar()``), which Spark evaluates once and inlines as
-literals - no driver-side collect and no cross join.
+Each pass returns one bounded row (a count, two band bounds, a bucket
+location, two values) - like Spark's own ``approxQuantile`` - so only a
+handful of numbers reach the driver, never the data; the results are then
+used as literals.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import as_double
 
 
-def _one_quantile(xs: DataFrame, stats: DataFrame, i: int, p: float, accuracy: int,
-                  buckets: int) -> DataFrame:
+def _locate(xs: DataFrame, n: int, lo: float, hi: float, p: float, buckets: int) -> float | None:
     x = F.col("x")
-    n = stats.select("n").scalar()
-    lo = stats.select(F.when(F.col("n") <= accuracy, F.col("mn")).otherwise(F.col(f"lo{i}"))).scalar()
-    hi = stats.select(F.when(F.col("n") <= accuracy, F.col("mx")).otherwise(F.col(f"hi{i}"))).scalar()
-    h = (n - F.lit(1)).cast("double") * F.lit(float(p))
-    k0 = F.floor(h)
-    k1 = F.least(k0 + 1, n - 1)
-
-    width = (hi - lo) / F.lit(float(buckets))
-    inner = F.when(width > 0, F.least(F.floor((x - lo) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    h = (n - 1) * p
+    k0 = math.floor(h)
+    k1 = min(k0 + 1, n - 1)
+    frac = h - k0
+    if lo == hi:
+        return float(lo)
+    width = (hi - lo) / buckets
+    inner = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1))
     bucket = F.when(x < lo, F.lit(-1)).when(x > hi, F.lit(buckets)).otherwise(inner).cast("long")
-
-    per_bucket = xs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
-    # <= buckets + 2 rows: a single ordered window is bounded
-    run = per_bucket.withColumn("end", F.sum("cnt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("start", F.col("end") - F.col("cnt"))
     holds = lambda k: (F.col("start") <= k) & (k < F.col("end"))
-    b0 = run.select(F.min(F.when(holds(k0), F.col("b")))).scalar()
-    b1 = run.select(F.max(F.when(holds(k1), F.col("b")))).scalar()
-    base = run.select(F.min(F.when(F.col("b") == b0, F.col("start")))).scalar()
-
-    band = (xs.filter(bucket.between(b0, b1))
-            .groupBy("x").agg(F.count(F.lit(1)).alias("cnt")))
-    # distinct values of one or two buckets: bounded by the bucket width
-    band = band.withColumn("end", base + F.sum("cnt").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    band = band.withColumn("start", F.col("end") - F.col("cnt"))
-    picked = band.agg(F.max(F.when(holds(k0), x)).alias("v0"), F.max(F.when(holds(k1), x)).alias("v1"))
-    frac = h - k0
-    return picked.select(
-        F.lit(i).alias("i"),
-        F.when(n > 0, F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("q"))
+
+    # pass 2: <= buckets + 2 counts; the running sum over them is bounded
+    run = (xs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+           .withColumn("end", F.sum("cnt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("start", F.col("end") - F.col("cnt")))
+    loc = run.agg(F.min(F.when(holds(k0), F.col("b"))).alias("b0"),
+                  F.max(F.when(holds(k1), F.col("b"))).alias("b1"),
+                  F.min(F.when(holds(k0), F.col("start"))).alias("base")).first()
+    if loc["b0"] is None:
+        return None
+    # pass 3: distinct values of the one or two located buckets
+    band = (xs.filter(bucket.between(loc["b0"], loc["b1"]))
+            .groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
+            .withColumn("end", F.lit(loc["base"]) + F.sum("cnt").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("start", F.col("end") - F.col("cnt")))
+    v = band.agg(F.max(F.when(holds(k0), x)).alias("v0"), F.max(F.when(holds(k1), x)).alias("v1")).first()
+    if v["v0"] is None or v["v1"] is None:
+        return None
+    return float(v["v0"] + (v["v1"] - v["v0"]) * frac)
 
 
-def exact_quantiles(df: DataFrame, column, probs: dict[str, float], accuracy: int = 10000,
-                    buckets: int = 4096) -> DataFrame:
-    """One-row DataFrame with a column per name in ``probs`` holding the
-    linear-interpolation quantile of ``column`` (NULL and NaN ignored; NULL
-    result for an empty column)."""
+def quantile_values(df: DataFrame, column, probs: dict[str, float], accuracy: int = 10000,
+                    buckets: int = 4096) -> dict[str, float | None]:
+    """Exact linear-interpolation quantiles of ``column`` (NULL and NaN
+    ignored), one value per name in ``probs``; None for an empty column.
+    Runs 1 + 2 per probability small aggregation jobs over ``df``; pass a
+    materialised ``df`` when it is expensive to recompute."""
     xs = df.select(as_double(column).alias("x")).filter(F.col("x").isNotNull())
     delta = 5.0 / accuracy
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
     names = list(probs)
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
     for i, name in enumerate(names):
         p = probs[name]
         aggs.append(F.percentile_approx("x", max(p - delta, 0.0), accuracy).alias(f"lo{i}"))
         aggs.append(F.percentile_approx("x", min(p + delta, 1.0), accuracy).alias(f"hi{i}"))
-    stats = xs.agg(*aggs)
-    parts = [_one_quantile(xs, stats, i, probs[name], accuracy, buckets) for i, name in enumerate(names)]
-    allq = parts[0]
-    for part in parts[1:]:
-        allq = allq.unionByName(part)
-    return allq.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
+    st = xs.agg(*aggs).first()
+    n = st["n"]
+    out: dict[str, float | None] = {}
+    for i, name in enumerate(names):
+        if not n:
+            out[name] = None
+            continue
+        lo, hi = (st["mn"], st["mx"]) if n <= accuracy else (st[f"lo{i}"], st[f"hi{i}"])
+        out[name] = _locate(xs, n, float(lo), float(hi), probs[name], buckets)
+    return out
+
+
+def exact_quantiles(df: DataFrame, column, probs: dict[str, float], **kw) -> DataFrame:
+    """The quantiles as a one-row DataFrame (one column per name)."""
+    vals = quantile_values(df, column, probs, **kw)
+    return df.sparkSession.createDataFrame([tuple(vals[k] for k in probs)],
+                                           ", ".join(f"`{k}` double" for k in probs))
 
 
 def quantile_scalars(df: DataFrame, column, probs: dict[str, float], **kw) -> dict:
-    """``{name: Column}`` scalar-subquery columns for use in expressions."""
-    q = exact_quantiles(df, column, probs, **kw)
-    return {name: q.select(name).scalar() for name in probs}
+    """``{name: Column}`` literal columns for use in expressions (a literal
+    bound also reaches the parquet scan as a pushed filter)."""
+    vals = quantile_values(df, column, probs, **kw)
+    return {k: F.lit(v).cast("double") for k, v in vals.items()}

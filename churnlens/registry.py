@@ -45,6 +45,22 @@ def _register():
     query("upsell_targets")(A.q_upsell)
     query("upsell_company_details")(A.q_upsell_details)
 
+    from churnlens.operators import quality as Q
+
+    query("clean_activity")(Q.q_clean_activity)
+    query("clean_surveys")(Q.q_clean_surveys)
+    query("clean_onboarding")(Q.q_clean_onboarding)
+    query("clean_customers")(Q.q_clean_customers)
+    query("clean_plans")(Q.q_clean_plans)
+    query("clean_team")(Q.q_clean_team)
+    query("clean_subscriptions")(Q.q_clean_subscriptions)
+    query("clean_billing")(Q.q_clean_billing)
+    query("clean_features")(Q.q_clean_features)
+    query("null_profile")(Q.q_null_profile)
+    query("duplicate_profile")(Q.q_duplicate_profile)
+    query("table_shape")(Q.q_table_shape)
+    query("table_preview")(Q.q_table_preview)
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if not QUERIES:

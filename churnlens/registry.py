@@ -61,6 +61,17 @@ def _register():
     query("table_shape")(Q.q_table_shape)
     query("table_preview")(Q.q_table_preview)
 
+    from churnlens.operators import features as FE
+
+    query("activity_enriched")(FE.q_activity_enriched)
+    query("engagement_by_customer")(FE.q_engagement_by_customer)
+    query("engagement_score")(FE.q_engagement_score)
+    query("dedupe_rows")(FE.q_dedupe_rows)
+    query("calendar_features")(FE.q_calendar_features)
+    query("customer_features")(FE.q_customer_features)
+    query("winsorized_features")(FE.q_winsorized)
+    query("scaled_features")(FE.q_scaled)
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if not QUERIES:

@@ -72,6 +72,14 @@ def _register():
     query("winsorized_features")(FE.q_winsorized)
     query("scaled_features")(FE.q_scaled)
 
+    from churnlens.operators import segments as SG
+    from churnlens.operators import stats as ST
+
+    query("ttest_engagement_churn")(ST.q_ttest_churn)
+    query("ttest_paid_free")(ST.q_ttest_paid_free)
+    query("customer_segments")(SG.q_segments)
+    query("segment_summary")(SG.q_segment_summary)
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if not QUERIES:

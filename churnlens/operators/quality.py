@@ -231,3 +231,25 @@ def q_table_shape(d: Domain):
 
 def q_table_preview(d: Domain, n: int = 5):
     return d.subscriptions().orderBy("subscription_id").limit(n)
+
+
+# -------------------------------------------------------------------- Q43
+EXPORTS = ["activity_clean", "survey_clean", "onboarding_clean", "clean_customer_data", "clean_plan",
+           "clean_team", "clean_subscription", "clean_billing", "clean_feature"]
+
+
+def cleaned_tables(d: Domain) -> dict[str, DataFrame]:
+    """The nine cleaned tables the notebook exports (tickets are read but
+    never cleaned or written, T40)."""
+    return dict(zip(EXPORTS, [q_clean_activity(d), q_clean_surveys(d), q_clean_onboarding(d), q_clean_customers(d),
+                              q_clean_plans(d), q_clean_team(d), q_clean_subscriptions(d), q_clean_billing(d),
+                              q_clean_features(d)]))
+
+
+def q_export_clean_csv(d: Domain, out_dir: str | None = None):
+    """Write the cleaned tables as CSV with a header and return the row
+    counts read back from the written files."""
+    from churnlens.sources.sinks import default_export_dir, export_tables, read_back_counts
+    out = out_dir or default_export_dir(d.spark)
+    paths = export_tables(cleaned_tables(d), out)
+    return read_back_counts(d.spark, paths)

@@ -79,6 +79,20 @@ def _register():
     query("ttest_paid_free")(ST.q_ttest_paid_free)
     query("customer_segments")(SG.q_segments)
     query("segment_summary")(SG.q_segment_summary)
+    query("export_clean_csv")(Q.q_export_clean_csv)
+
+    from churnlens.operators import kpis as K
+
+    query("kpi_overview")(K.kpi_overview)
+    query("churn_by_plan")(K.churn_by_plan)
+    query("churn_by_country")(K.churn_by_country)
+    query("churn_by_billing_cycle")(K.churn_by_billing_cycle)
+    query("retention_by_fiscal_year")(K.retention_by_fiscal_year)
+    query("trial_conversion")(K.trial_conversion)
+    query("mrr_by_plan")(K.mrr_by_plan)
+    query("nps_by_plan")(K.nps_by_plan)
+    query("churn_by_engagement_band")(K.churn_by_engagement_band)
+    query("revenue_opportunity")(K.revenue_opportunity)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

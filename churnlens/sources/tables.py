@@ -44,20 +44,31 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: st
 def read_collection(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Read a document collection exported as JSON lines.
 
-    Documents may carry both ``customerId`` and ``customerid``; with the
-    default case-insensitive resolution Spark refuses such a schema, so the
-    read is done case-sensitively and the names are normalised afterwards by
-    ``operators.quality.normalise_columns``.  Pass ``schema`` to skip schema
-    inference on large exports.
+    Documents may carry both ``customerId`` and ``customerid``; Spark's
+    case-insensitive name resolution refuses such a schema.  The schema is
+    therefore inferred case-sensitively (or passed as ``schema`` to skip the
+    inference pass), later case variants get a positional ``__dupN`` suffix,
+    and the lines are parsed with ``from_json`` - a distributed, per-line JVM
+    expression.  ``operators.quality`` then merges all variants left to right.
     """
     previous = spark.conf.get("spark.sql.caseSensitive", "false")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        reader = spark.read
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.json(path)
-        df.schema  # resolve while case-sensitive
+        if schema is None:
+            schema = spark.read.json(path).schema
     finally:
         spark.conf.set("spark.sql.caseSensitive", previous)
-    return df
+    # names equal up to case get a positional suffix; the documents are
+    # parsed as text with the exact-case schema and the struct is renamed
+    # by position, so no case-insensitive lookup ever sees two equal names
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    seen: dict[str, int] = {}
+    fields = []
+    for f in schema.fields:
+        k = seen.get(f.name.lower(), 0)
+        fields.append(T.StructField(f.name if k == 0 else f"{f.name}__dup{k}", f.dataType, True))
+        seen[f.name.lower()] = k + 1
+    renamed = T.StructType(fields)
+    doc = F.from_json(F.col("value"), schema).cast(renamed)
+    return spark.read.text(path).select(doc.alias("_doc")).select("_doc.*")

@@ -232,3 +232,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = R.plan_summary(Domain(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+# ------------------------------------------------------------ S3 collections
+def test_collection_with_case_variant_ids(spark, tmp_path):
+    import json
+    from churnlens.sources.tables import read_collection
+    docs = [{"_id": "a", "customerId": 5, "event_type": "click", "session_duration_sec": 1.0, "timestamp": "2024-01-01 00:00:00"},
+            {"_id": "b", "customerid": 6, "event_type": "view", "session_duration_sec": 2.0, "timestamp": "2024-01-01 00:00:00"},
+            {"_id": "c", "customer_id": 7, "event_type": "view", "session_duration_sec": 3.0, "timestamp": "zzz"}]
+    path = tmp_path / "activity.json"
+    path.write_text("\n".join(json.dumps(d) for d in docs))
+    raw = read_collection(spark, str(path))
+    got = sorted((r.customer_id, r.event_type) for r in Q.clean_activity(raw).collect())
+    assert got == [(5, "click"), (6, "view"), (7, "view")]

@@ -2,8 +2,8 @@
 
 Column-name work (normalising, de-duplicating, alias coalescing) only
 rewrites the projection.  Scalar parameters (IQR fences, medians) come from
-``plans.quantiles`` as scalar subqueries, so each is computed once by a
-distributed aggregation and inlined; no value is collected to the driver.
+``plans.quantiles``: distributed aggregations whose few summary numbers are
+inlined as literals; no data is collected to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.functions.exprs import as_double, nan_to_null, parse_ts_coerce
+from churnlens.functions.exprs import nan_to_null, parse_ts_coerce
 from churnlens.plans.quantiles import quantile_scalars
 from churnlens.sources.bindings import Domain
 

@@ -60,8 +60,36 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+TOOL_CALLS = """
+WITH asked AS (
+  SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), said AS (
+  SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), chain AS (
+  -- calls two turns apart form a run; the level is the place in it
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS r FROM (SELECT DISTINCT conv_id, turn FROM asked)
+), lev AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * r ORDER BY turn) - 1 AS level FROM chain
+), j AS (
+  SELECT coalesce(a.conv_id, NULL) AS conv_id, coalesce(a.conv_id, s.conv_id) || ':' || coalesce(a.turn, s.turn - 1) AS call_id,
+    l.level, s.turn AS seq, a.text AS prompt, a.turn AS turn, s.text AS content, a.conv_id IS NULL AS orphan,
+    CASE WHEN l.level > 0 THEN a.conv_id || ':' || (a.turn - 2) END AS after
+  FROM asked a LEFT JOIN lev l USING (conv_id, turn) FULL JOIN said s ON s.conv_id = a.conv_id AND s.turn = a.turn + 1
+), st AS (
+  SELECT *, CASE WHEN orphan THEN 'orphan' WHEN prompt IS NULL THEN 'invalid_arguments' WHEN content IS NULL THEN 'unanswered' ELSE 'ok' END AS status FROM j
+)
+SELECT conv_id, call_id, level, seq, status,
+  '{"after":' || coalesce(to_json(after)::VARCHAR, 'null') || ',"arguments":'
+  || CASE WHEN orphan THEN 'null' ELSE '{"prompt":' || coalesce(to_json(prompt)::VARCHAR, 'null') || ',"turn":' || turn || '}' END
+  || ',"call_id":' || to_json(call_id)::VARCHAR || ',"content":' || coalesce(to_json(content)::VARCHAR, 'null')
+  || ',"level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || CASE WHEN orphan THEN 'null' ELSE '"answer"' END
+  || ',"status":"' || status || '"}' AS line
+FROM st
+"""
+
 SQL: dict[str, str] = {
     "op4_embedding_range_join": EMBEDDING,
     "op6_ngram_jaccard_join": NGRAM,
+    "op10_tool_calls": TOOL_CALLS,
     "op9_suffix_decontamination": DECONTAMINATION,
 }

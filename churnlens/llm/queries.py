@@ -12,10 +12,13 @@ from churnlens.llm import (
     best_fit_packing,
     embedding_join,
     hash_tree_sharding,
+    license_scan,
     ngram_join,
     suffix_decontamination,
     token_records,
+    tool_calls,
     toxicity,
+    wordpiece_counts,
 )
 
 SHARDS, CAPACITY, WINDOW = 24, 2048, 13
@@ -27,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, share = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -42,6 +49,11 @@ def op4_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.vector_components(table(spark, sf_dir, "embeddings"))
 
 
+def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = wordpiece_counts.byte_pieces(public_tokenizers.path(WORD_BPE))
+    return wordpiece_counts.token_counts(table(spark, sf_dir, "documents"), pieces, pieces)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.text_components(table(spark, sf_dir, "documents"))
 
@@ -64,6 +76,15 @@ def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+#: The schema of the tool that conversations call.
+ANSWER = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_tool_calls(*tool_calls.conversation_calls(table(spark, sf_dir, "conversations")), ANSWER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_hash_tree_sharding, op4_embedding_range_join, op6_ngram_jaccard_join,
-                            op7_best_fit_packing, op8_token_records, op9_suffix_decontamination)}
+    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_hash_tree_sharding, op4_embedding_range_join, op5_wordpiece_counts,
+                            op6_ngram_jaccard_join, op7_best_fit_packing, op8_token_records, op9_suffix_decontamination,
+                            op10_tool_calls)}

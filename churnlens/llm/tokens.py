@@ -1,74 +1,111 @@
 """Token ids through the tokenizers library, with a bounded cache of pieces.
 
-Both public vocabularies used here split at white space, so a text's ids are
-those of its pieces between single blanks.  ``encoder`` returns a function from
-texts to their ids as bytes; pieces seen before come from a dictionary, the
-others go through the library in one batch.
+The vocabularies used here split at white space, so a text's ids are those of its
+pieces between single blanks.  A piece seen before comes from a dictionary.  A new
+one that is a word of Latin letters, with at most one mark after it, goes straight
+to the library's model, since its pre-tokenizer would leave it whole; any other
+piece goes through the whole library.  Both ways are compared when a tokenizer is
+loaded, and one that this does not hold for is used without short cuts.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
+from array import array
 
-import numpy as np
-
-#: Cached pieces of a Python worker: two generations of at most this many.
-CACHE_PIECES = 150_000
+#: Cached pieces of a Python worker (about 200 bytes each): two generations of at
+#: most so many; when the younger is full, the older goes.
+CACHE_PIECES = 500_000
 #: Blanks that are not single: such texts go through the library whole where blanks count.
 _ODD = re.compile(r"^[ \n]|[ \n]$|[ \n]{2}|[^\S \n]")
+_MARKS = frozenset(".,;:!?")
+#: Letters below this are handled alike by any Unicode version.
+_LATIN_END = "ɐ"
+_PROBES = ("ab", "Ab", "thereof", "Ünïcödé", "straße", "ñandú", "Ça", "ABC", "the", "zzxq", "idiot", "É")
 _LOADED: dict[str, object] = {}
 
 
-class _Cache:
-    """Ids (little-endian unsigned 32 bits) of pieces; least used ones fall out by generation."""
-
-    def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return {b: b if b in plain else next(other) for b in range(256)}
 
-    def ids(self, pieces: list[str]) -> bytes:
-        got = list(map(self.young.get, pieces))
-        if None in got:
-            missing = {p for p, g in zip(pieces, got, strict=True) if g is None}
-            found = {p: self.old[p] for p in missing if p in self.old}
-            new = [p for p in missing if p not in found]
-            found.update(zip(new, self.encode(new), strict=True))
-            if len(self.young) + len(found) > CACHE_PIECES:
-                self.old, self.young = self.young, {}
-            self.young.update(found)
-            got = [found[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
-        return b"".join(got)
 
+class Pieces(dict):
+    """Ids (little-endian unsigned 32 bits) by piece; a piece stands after a blank
+    unless it begins with a new line."""
 
-def _tokenizer(path: str):
-    """The tokenizer at ``path`` and whether blanks count; special strings in a text are ordinary text."""
-    if path not in _LOADED:
+    def __init__(self, path: str):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library, self.model, self.alphabet = t, t.model, _byte_letters()
         one = lambda s: t.encode(s, add_special_tokens=False).ids
-        if one("ab cd") == one("ab") + one("cd"):
-            kind = "dropped"
-        elif one("ab cd\nef") == one("ab") + one(" cd") + one("\nef"):
-            kind = "kept"
+        # whether pieces can be joined: without their blanks, with them, or not at all
+        self.kind = ("dropped" if one("ab cd") == one("ab") + one("cd") and one("ab cd\nef") == one("ab") + one("cd") + one("ef")
+                     else "kept" if one("ab cd\nef") == one("ab") + one(" cd") + one("\nef") else "whole")
+        self.short = self.kind != "whole" and all(
+            self._short(p) in (None, self.whole(self._spaced(p))) for w in _PROBES for p in (w, w + ".", "\n" + w))
+
+    def _spaced(self, piece: str) -> str:
+        return piece if self.kind == "dropped" or piece[0] == "\n" else " " + piece
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, word: str, lead: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
+
+    def _short(self, piece: str) -> bytes | None:
+        """Ids of a plain word; None if the piece is not one."""
+        line, end = piece[0] == "\n", piece[-1] if piece[-1] in _MARKS else ""
+        word = piece[line:len(piece) - len(end)]
+        if not word.isalpha() or max(word) >= _LATIN_END:
+            return None
+        if self.kind == "dropped":
+            word = "".join(map(str.lower, word))
+            if not (word.isalpha() and unicodedata.is_normalized("NFC", word)):
+                return None
+            ids = self._model(word, "")
         else:
-            kind = "whole"
+            ids = (self._model("", "Ċ") if line else b"") + self._model(word, "" if line else "Ġ")
+        return ids + self._model(end, "") if end else ids
 
-        def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        _LOADED[path] = (encode, kind, _Cache(encode))
-    return _LOADED[path]
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None and self.short:
+            ids = self._short(piece)
+        if ids is None:
+            ids = self.whole(self._spaced(piece))
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        if self.kind == "dropped":
+            pieces = text.replace("\n", " ").split(" ")
+            return b"".join(map(self.__getitem__, filter(None, pieces)))
+        if self.kind == "kept" and not _ODD.search(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        return self.whole(text)
 
 
 def encode_text(path: str, text: str | None) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit integers (null: none)."""
     if not text:
         return b""
-    encode, kind, cache = _tokenizer(path)
-    if kind == "dropped":
-        return cache.ids([p for p in text.replace("\n", " ").split(" ") if p])
-    if kind == "kept" and not _ODD.search(text):
-        pieces = text.replace("\n", " \n").split(" ")
-        # a piece that follows a blank has it in front; a new line is its own blank
-        return cache.ids([pieces[0], *(p if p[0] == "\n" else " " + p for p in pieces[1:])])
-    return encode([text])[0]
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path].text(text)

@@ -1,8 +1,9 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention
 pooling over windows of words, written and trained in numpy.
 
-A word's input joins a learnt vector of the word (hashed) and the mean of learnt
-vectors of its character trigrams with its borders (hashed bytes).  Two gated
+A word's input joins a learnt vector of the word, the mean of learnt vectors of its
+character trigrams with its borders, and that of its beginnings of 4 to 9 bytes
+(all hashed).  Two gated
 recurrent passes read a window of ``WINDOW`` words; attention over the joined
 states pools them; a linear layer gives the window's logit.  Every window of a
 text is scored, each starting ``STRIDE`` words after the last; the text's score is
@@ -34,8 +35,13 @@ from pyspark.sql import types as T
 
 from churnlens.llm.common import ALNUM, U64, blocks, free_name, mix, text_buffer, word_hashes, word_spans
 
-WINDOW, STRIDE, HIDDEN, VECTOR, BUCKETS = 32, 16, 8, 6, 1 << 14
+WINDOW, STRIDE, HIDDEN, VECTOR, BUCKETS = 32, 16, 8, 6, 1 << 15
+KINDS, BEGINS = ("word", "tri", "begin"), [4, 5, 6, 7, 8, 9]
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 20_000
+#: Documents of the sample that must have a word or trigram for it to be learnt.
+RARE = 3
+#: Learning rate of the vectors against that of the network.
+SLOW = 0.02
 #: Bytes of text worked on at a time.
 PART_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,18 +55,27 @@ class Words:
         starts, ends, first = word_spans(data, offsets, ALNUM)
         hashes, one, ids = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.ids = ids.astype(np.int32)
-        self.word = (hashes & U64(BUCKETS - 1)).astype(np.int32)
         s, n = starts[one], (ends - starts)[one]
-        self.row = np.cumsum(n) - n  # of each word's trigrams
-        at = np.arange(int(n.sum())) + np.repeat(s - self.row, n)
+        row = np.cumsum(n) - n  # of each word's trigrams
+        at = np.arange(int(n.sum())) + np.repeat(s - row, n)
         low = _LOWER[data].astype(np.uint64)
         mid = low[at] if len(at) else np.zeros(0, U64)
         before, after = np.roll(mid, 1), np.roll(mid, -1)
         if len(at):
-            before[self.row] = 0
-            after[self.row + n - 1] = 0
-        self.tri = (mix(before << U64(16) | mid << U64(8) | after) & U64(BUCKETS - 1)).astype(np.int32)
-        self.count = n
+            before[row] = 0
+            after[row + n - 1] = 0
+        begins, h = np.zeros((len(n), len(BEGINS)), U64), np.zeros(len(n), U64)
+        for j in range(max(BEGINS)):
+            on = np.flatnonzero(n > j)
+            h[on] = mix(h[on] * U64(31) + mid[row[on] + j] + U64(1))
+            if j + 1 in BEGINS:
+                begins[:, BEGINS.index(j + 1)] = mix(h + U64(j))
+        each = np.arange(len(n))
+        #: Of each kind of input: its buckets, where each distinct word's begin, how many it has.
+        self.grams = {k: ((x & U64(BUCKETS - 1)).astype(np.int32), at, m) for k, x, at, m in (
+            ("word", hashes, each, np.ones_like(n)), ("tri", mix(before << U64(16) | mid << U64(8) | after), row, n),
+            ("begin", begins.ravel(), each * len(BEGINS), np.full_like(n, len(BEGINS))))}
+        self.distinct = len(n)
         # windows: one for every STRIDE words, until the last word is in one; an empty text has one
         words = np.diff(first)
         number = np.maximum(1, -(-(words - WINDOW) // STRIDE) + 1)
@@ -76,12 +91,21 @@ class Words:
         ids = self.ids[at] if len(self.ids) else np.zeros(at.shape, np.int32)
         return np.where(j < self.size[which][:, None], ids, -1)
 
-    def inputs(self, p: dict, which: np.ndarray | None = None) -> np.ndarray:
+    def of(self, kind: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of some distinct words, and how many each has."""
+        buckets, row, count = self.grams[kind]
+        n = count[which]
+        return buckets[np.arange(int(n.sum())) + np.repeat(row[which] - (np.cumsum(n) - n), n)], n
+
+    def mean(self, kind: str, table: np.ndarray) -> np.ndarray:
+        buckets, row, count = self.grams[kind]
+        if not self.distinct:
+            return np.zeros((0, *table.shape[1:]), table.dtype)
+        return (np.add.reduceat(table[buckets], row, axis=0).T / count.astype(np.float32)).T
+
+    def inputs(self, p: dict) -> np.ndarray:
         """Input vectors of the distinct words."""
-        if not len(self.row):
-            return np.zeros((0, 2 * VECTOR), np.float32)
-        tri = np.add.reduceat(p["tri"][self.tri], self.row, axis=0) / self.count[:, None].astype(np.float32)
-        return np.concatenate((p["word"][self.word], tri), axis=1)
+        return np.concatenate([self.mean(k, p[k]) for k in KINDS], axis=1)
 
 
 def sigmoid(x):
@@ -92,8 +116,8 @@ def init(rng: np.random.Generator) -> dict:
     def normal(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    h, e = HIDDEN, 2 * VECTOR
-    p = {"word": normal(BUCKETS, VECTOR, scale=.05), "tri": normal(BUCKETS, VECTOR, scale=.05)}
+    h, e = HIDDEN, len(KINDS) * VECTOR
+    p = {k: normal(BUCKETS, VECTOR, scale=.05) for k in KINDS}
     for d in "fb":
         p |= {f"x{d}": normal(e, 3 * h, scale=e ** -.5), f"u{d}": normal(h, 3 * h, scale=h ** -.5), f"c{d}": np.zeros(3 * h, np.float32)}
     return p | {"a": normal(2 * h, 2 * h, scale=(2 * h) ** -.5), "v": normal(2 * h, scale=.5), "o": normal(2 * h, scale=.5), "k": np.zeros(1, np.float32)}
@@ -168,28 +192,27 @@ def score_windows(p: dict, words: Words, which: np.ndarray | None = None, step:
     return np.concatenate([forward(p, words.window_ids(which[i:i + step]), inputs) for i in range(0, len(which), step)] or [np.zeros(0)])
 
 
-def _log_odds(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each bucket of words and trigrams: how much likelier toxic documents hold it."""
+def _log_odds(words: Words, y: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each bucket of words and trigrams: how much likelier toxic documents hold
+    it, and whether ``RARE`` documents have it.  What fewer have would only tell the
+    sample's documents apart: it keeps a zero vector, as what no document has."""
     doc_of = np.searchsorted(words.doc_first_word, np.arange(len(words.ids)), "right") - 1
-    pairs = np.unique(doc_of.astype(np.int64) * max(len(words.word), 1) + words.ids)
-    d, w = pairs // max(len(words.word), 1), pairs % max(len(words.word), 1)
-    out = []
-    for kind in ("word", "tri"):
-        if kind == "word":
-            key, doc = words.word[w], d
-        else:
-            n = words.count[w]
-            key = words.tri[np.arange(int(n.sum())) + np.repeat(words.row[w] - (np.cumsum(n) - n), n)]
-            doc = np.repeat(d, n)
-        both = np.unique(doc * BUCKETS + key)
+    n = max(words.distinct, 1)
+    pairs = np.unique(doc_of.astype(np.int64) * n + words.ids)
+    out = {}
+    for kind in KINDS:
+        key, times = words.of(kind, pairs % n)
+        both = np.unique(np.repeat(pairs // n, times) * BUCKETS + key)
         doc, key = both // BUCKETS, both % BUCKETS
         bad = np.bincount(key, weights=y[doc], minlength=BUCKETS)
         good = np.bincount(key, weights=1 - y[doc], minlength=BUCKETS)
-        out.append(np.clip(np.log((bad + .5) / (y.sum() + 1)) - np.log((good + .5) / ((1 - y).sum() + 1)), -3, 6))
-    return out[0], out[1]
+        odds = np.clip(np.log((bad + .5) / (y.sum() + 1)) - np.log((good + .5) / ((1 - y).sum() + 1)), -3, 6)
+        known = bad + good >= RARE
+        out[kind] = np.where(known, odds, 0).astype(np.float32), known[:, None].astype(np.float32)
+    return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 14, seed: int = 7) -> dict | None:
+def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 7) -> dict | None:
     """Weights and calibration; None without both labels."""
     y = np.array(labels, dtype=np.float32)
     if not 0 < y.sum() < len(y):
@@ -199,17 +222,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, seed: int = 7)
     words = Words(data, offsets)
     words.doc_first_word = np.searchsorted(word_spans(data, offsets, ALNUM)[0], offsets)[:-1]
     p = init(rng)
-    odds_word, odds_tri = _log_odds(words, y)
-    p["word"][:, 0], p["tri"][:, 0] = odds_word / 3, odds_tri
+    odds = _log_odds(words, y)
+    for k in KINDS:
+        p[k][:, 0] = odds[k][0] / 2
+        p[k] *= odds[k][1]
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
     toxic = y[words.doc] > 0
-    # first choice of windows: those with the highest trigram log-odds
-    tri = np.add.reduceat(odds_tri[words.tri], words.row) / words.count if len(words.row) else np.zeros(0)
-    word_odds = np.maximum(tri, odds_word[words.word] / 2)
-    rank = np.array([word_odds[i[i >= 0]].max(initial=-9) for i in np.array_split(words.window_ids(np.arange(len(words.doc))), len(words.doc))]) \
-        if len(words.doc) < 4000 else np.concatenate([np.where(i >= 0, np.append(word_odds, -9)[i], -9).max(1)
-                                                      for i in (words.window_ids(np.arange(a, min(a + 8192, len(words.doc)))) for a in range(0, len(words.doc), 8192))])
+    # first choice of windows: by the highest log-odds of a word's beginnings, trigrams or the word
+    best = np.append(np.max([words.mean(k, odds[k][0]) for k in KINDS], axis=0), -9)
+    rank = np.concatenate([best[words.window_ids(np.arange(a, min(a + 8192, len(words.doc))))].max(1) for a in range(0, len(words.doc), 8192)])
     step = 0
     for epoch in range(epochs):
         if epoch >= 4 and epoch % 2 == 0:
@@ -236,17 +258,18 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, seed: int = 7)
             target = toxic[which].astype(np.float32)
             weight = np.where(target > 0, (1 - target).mean() + .05, target.mean() + .05) * 2
             g, dx = backward(p, x, kept, (sigmoid(logits) - target) * weight / len(which))
-            gw, gt = np.zeros_like(p["word"]), np.zeros_like(p["tri"])
-            np.add.at(gw, words.word[used], dx[:, :VECTOR])
-            n = words.count[used]
-            at = np.arange(int(n.sum())) + np.repeat(words.row[used] - (np.cumsum(n) - n), n)
-            np.add.at(gt, words.tri[at], np.repeat(dx[:, VECTOR:] / n[:, None], n, axis=0))
-            g |= {"word": gw, "tri": gt}
+            for c, k in enumerate(KINDS):
+                key, times = words.of(k, used)
+                own = dx[:, c * VECTOR:(c + 1) * VECTOR] / np.maximum(times, 1)[:, None]
+                g[k] = np.zeros_like(p[k])
+                np.add.at(g[k], key, np.repeat(own, times, axis=0))
+                g[k] *= odds[k][1]
             step += 1
             for k in p:
                 m[k] += .1 * (g[k] - m[k])
                 v[k] += .01 * (g[k] * g[k] - v[k])
-                p[k] = (p[k] - rate * (m[k] / (1 - .9 ** step)) / (np.sqrt(v[k] / (1 - .99 ** step)) + 1e-6)).astype(np.float32)
+                # vectors move slowly: a fast step would learn the sample's documents by heart
+                p[k] = (p[k] - rate * (SLOW if k in odds else 1) * (m[k] / (1 - .9 ** step)) / (np.sqrt(v[k] / (1 - .99 ** step)) + 1e-6)).astype(np.float32)
     best = np.maximum.reduceat(score_windows(p, words), words.first[:-1])
     a, b = 1.0, 0.0
     for _ in range(200):  # calibration: logistic curve over the documents' highest logits

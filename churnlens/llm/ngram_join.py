@@ -24,9 +24,9 @@ What is left goes to its bucket as packed arrays (8 bytes a cell), and the bucke
 reduces again.  So a tile of any size gives a tree of candidates, never all pairs,
 and a bucket gets no more than one entry of a tile from a block.
 
-Checks.  A candidate's two sets are compared by size, by parity bitmaps (bits that
-differ bound the overlap from above) and then exactly, as sorted arrays.  After the
-first check, sets of one tile may still stand in different components; exactly
+Checks.  A candidate's two sets are compared by size and by parity bitmaps of about
+a bit a shingle (bits that differ bound the overlap from above); what passes is
+compared exactly, as sorted arrays.  After the first check, sets of one tile may still stand in different components; exactly
 these, found from the failed candidates, are paired tile by tile and checked too.
 So no link between components is missed, and pairs within one are not needed.
 
@@ -65,6 +65,8 @@ N, NUM, DEN = 5, 4, 5
 PART_BYTES, CELLS, BUCKET_SHINGLES = 4 << 20, 3_000_000, 4_000_000
 #: Candidates that one task checks against one set.
 SALT = 2000
+#: Documents of the sample for frequent shingles, how many must have one, and most of these.
+SAMPLE, FREQUENT, MOST = 4096, 3, 200_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -103,21 +105,20 @@ def cells_of(band: np.ndarray) -> np.ndarray:
     return (3 * top + 9) // 10 + 6
 
 
-def cell_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the filled cells of each set (and of the prefix of sets with too few), and their sets."""
+def _filled(h: np.ndarray, offsets: np.ndarray, size: np.ndarray, on: np.ndarray, space: int):
+    """Hashes of the filled cells of the sets ``on``, over the hashes ``h`` of sets of
+    ``size``; their sets; and the sets that have too few for a linked one to be sure to share one."""
     n = np.diff(offsets)
-    band = band_of(np.maximum(n, 1))
-    size = np.arange(len(n))
-    found, sets = [], []
+    band = band_of(np.maximum(size, 1))
+    found, sets, weak = [], [], np.zeros(len(n), dtype=bool)
     place, value = mix(h ^ _C), mix(h ^ _A)
-    weak = np.zeros(len(n), dtype=bool)
     for upper in (False, True):
         tile = band - upper
         top = (np.int64(2) << np.maximum(tile, 0)) - 1
-        part = (n > 0) & (tile >= 0) & (~np.bool_(upper) | (NUM * n <= DEN * top))
+        part = on & (size > 0) & (tile >= 0) & (~np.bool_(upper) | (NUM * size <= DEN * top))
         k = np.where(part, cells_of(np.maximum(tile, 0)), 0)
         base = np.cumsum(k) - k
-        of = np.repeat(size, n)
+        of = np.repeat(np.arange(len(n)), n)
         use = part[of]
         of = of[use]
         # place in [0, k): high 32 bits of the hash times k
@@ -127,18 +128,55 @@ def cell_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.add.at(total, cell, value[use])
         filled[cell] = True
         at = np.flatnonzero(filled)
-        of = np.repeat(size, k)[at]
-        found.append(mix(total[at] + (at - base[of]).astype(np.uint64) * _B + (tile[of].astype(np.uint64) + U64(1)) * _C))
+        of = np.repeat(np.arange(len(n)), k)[at]
+        found.append(mix(total[at] + (at - base[of]).astype(np.uint64) * _B + (tile[of].astype(np.uint64) + U64(1 + space)) * _C))
         sets.append(of)
-        partner = np.minimum(n, top) if upper else n * DEN // NUM
-        weak |= part & (np.bincount(of, minlength=len(n)) <= (n + partner) // 9)
+        partner = np.minimum(size, top) if upper else size * DEN // NUM
+        weak |= part & (np.bincount(of, minlength=len(n)) <= (size + partner) // 9)
+    return found, sets, weak
+
+
+def cell_hashes(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the filled cells of each set, and their sets: without ``frequent``
+    shingles (sorted); of all shingles where those are too few; of the smallest
+    where these are too few as well."""
+    size = np.diff(offsets)
+    every = np.ones(len(size), dtype=bool)
+    if len(frequent):
+        at = np.searchsorted(frequent, h)
+        at[at == len(frequent)] = 0
+        rare = frequent[at] != h
+        left = np.concatenate(([0], np.cumsum(rare)))[offsets]
+        found, sets, weak = _filled(h[rare], left, size, every, 0)
+    else:
+        found, sets, weak = [], [], every
+    if weak.any():
+        more, of, weak = _filled(h, offsets, size, weak, 64)
+        found, sets = found + more, sets + of
     for s in np.flatnonzero(weak).tolist():
         # sets are sorted by hash: the prefix is their first hashes
-        found.append(mix(h[offsets[s]:offsets[s] + n[s] - -(-n[s] * NUM // DEN) + 1] ^ _WEAK))
+        found.append(mix(h[offsets[s]:offsets[s] + size[s] - -(-size[s] * NUM // DEN) + 1] ^ _WEAK))
         sets.append(np.full(len(found[-1]), s))
     return np.concatenate(found), np.concatenate(sets)
 
 
+def frequent_shingles(docs: DataFrame, total: int, n: int = N) -> np.ndarray:
+    """Shingles that at least ``FREQUENT`` of about ``SAMPLE`` documents have, at most
+    ``MOST`` of them: sorted hashes."""
+    if not total:
+        return np.zeros(0, np.uint64)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, SAMPLE / total))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, h, _ in text_sets(b.column(1), n):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    rows = (some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
+            .orderBy(F.col("c").desc(), "h").limit(MOST).select("h").toPandas())
+    return np.sort(rows["h"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def _trees(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted tiles: which entries go on (each tile's smallest node), and the edges (smallest, other), distinct."""
     new = np.ones(len(tile), dtype=bool)
@@ -194,28 +232,29 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, size of the set and its two digests (null for an empty set)."""
+    """doc_id, size of the set, its two digests and its parity bitmap (null for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, h, offsets in text_sets(b.column(1), n):
                 size = np.diff(offsets)
                 d1, d2 = digests(h, offsets)
                 none = size == 0
+                bits = [parity(h[offsets[k]:offsets[k + 1]]).tobytes() if size[k] else None for k in range(len(size))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, len(size)), pa.array(size), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none)],
-                    names=["doc_id", "n_shingles", "d1", "d2"])
+                    [b.column(0).slice(i, len(size)), pa.array(size), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary")
 
 
-def candidates(docs: DataFrame, buckets: int, n: int = N) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
     """Candidate edges (u, v) between sets, by their first digest: a tree over each tile."""
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         cells = rows = 0
         for b in batches:
             for _, h, offsets in text_sets(b.column(1), n):
-                tile, of = cell_hashes(h, offsets)
+                tile, of = cell_hashes(h, offsets, frequent.value)
                 held.append((tile, digests(h, offsets)[0].view(np.int64)[of]))
                 cells, rows = cells + len(tile), rows + len(offsets)
                 if cells >= CELLS or rows >= 40_000:  # a block has fewer rows than a batch, so places fit 16 bits
@@ -234,25 +273,28 @@ def candidates(docs: DataFrame, buckets: int, n: int = N) -> DataFrame:
     return docs.mapInArrow(tiles, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets link: sizes, parity bitmaps, then the exact intersection."""
-    if NUM * max(len(a), len(b)) > DEN * min(len(a), len(b)):
-        return False
-    return _overlap_bound(a, b) and _exact(a, b)
+def parity(h: np.ndarray) -> np.ndarray:
+    """A bit for each hash or so (a power of two, 64 at least): whether an odd number of hashes fall there."""
+    bits = max(64, 1 << int(len(h)).bit_length())
+    odd = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def parity(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bit i: whether an odd number of hashes fall there."""
-    odd = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8))
+def may_link(n: int, m: int, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sizes and parity bitmaps of two sets leave a link possible."""
+    if NUM * max(n, m) > DEN * min(n, m):
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)  # a bitmap twice as long, folded, is the shorter one
+    # each hash in one set only turns one bit: those that differ are at most n + m - 2 * overlap
+    overlap = (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+    return DEN * overlap >= NUM * (n + m - overlap)
 
 
-def _overlap_bound(a: np.ndarray, b: np.ndarray) -> bool:
-    # each hash in one set only turns one bit: the bits that differ are at most |a| + |b| - 2 * overlap
-    bits = max(64, 1 << int(max(len(a), len(b))).bit_length())
-    differ = int(np.bitwise_count(parity(a, bits) ^ parity(b, bits)).sum())
-    overlap = (len(a) + len(b) - differ) // 2
-    return DEN * overlap >= NUM * (len(a) + len(b) - overlap)
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link: sizes, parity bitmaps, then the exact intersection."""
+    return may_link(len(a), len(b), parity(a), parity(b)) and _exact(a, b)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> bool:
@@ -299,31 +341,41 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
             .repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", "role").mapInArrow(check, "u long, v long"))
 
 
-def tile_rows(texts: DataFrame, n: int = N) -> DataFrame:
-    """Every filled cell of texts (doc_id, component, text): tile, doc_id, component, size and a 256-bit parity bitmap."""
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sizes and bitmaps of ``known`` (node, n_shingles, bits) allow."""
+    side = lambda c: known.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where("4 * nu <= 5 * nv and 4 * nv <= 5 * nu").select("u", "v", "nu", "nv", "bu", "bv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_pylist(), b.column(3).to_pylist()
+            bits = [[np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in b.column(c)] for c in (4, 5)]
+            keep = pa.array([may_link(*x) for x in zip(n, m, *bits, strict=True)], pa.bool_())
+            yield b.select(["u", "v"]).filter(keep)
+
+    return both.mapInArrow(run, "u long, v long").distinct()
+
+
+def tile_rows(texts: DataFrame, frequent, n: int = N) -> DataFrame:
+    """Every filled cell of texts (doc_id, component, text): tile, doc_id, component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, h, offsets in text_sets(b.column(2), n):
-                tile, of = cell_hashes(h, offsets)
-                bits = np.stack([parity(h[offsets[k]:offsets[k + 1]], 256).view(np.int64) for k in range(len(offsets) - 1)])
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tile.view(np.int64)), b.column(0).slice(i, len(bits)).take(take), b.column(1).slice(i, len(bits)).take(take),
-                     pa.array(np.diff(offsets)[of]), *(pa.array(bits[of, c]) for c in range(4))], names=["tile", "doc_id", "component", "n", "b0", "b1", "b2", "b3"])
+                tile, of = cell_hashes(h, offsets, frequent.value)
+                take = pa.array(of + i)
+                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), b.column(0).take(take), b.column(1).take(take)],
+                                                 names=["tile", "doc_id", "component"])
 
-    return texts.mapInArrow(run, "tile long, doc_id long, component long, n long, b0 long, b1 long, b2 long, b3 long")
+    return texts.mapInArrow(run, "tile long, doc_id long, component long")
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one tile that stand in different components and that sizes and bitmaps allow."""
+    """Pairs of one tile that stand in different components."""
     mixed = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tile")
     rows = materialise(rows.join(mixed, "tile", "left_semi"), "tiles")
     a, b = rows.alias("a"), rows.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
-    both = F.col("a.n") + F.col("b.n")
-    can = ((F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") < F.col("b.component"))
-           & (NUM * F.col("a.n") <= DEN * F.col("b.n")) & (NUM * F.col("b.n") <= DEN * F.col("a.n")) & (9 * differ <= both))
-    return a.join(b, can).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    return (a.join(b, (F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") < F.col("b.component")))
+            .select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct())
 
 
 def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -331,11 +383,12 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable by links, itself included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = materialise(describe(docs, n), "sets")
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    count = known.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, count[0], n))
     key = ["d1", "d2", "n_shingles"]
-    classes = materialise(known.where("d1 is not null").groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
+    classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node")), "classes")
     name = classes.where("node is not null").select("d1", "node")
-    found = candidates(docs, max(1, -(-int(total) // BUCKET_SHINGLES)), n)
+    found = candidates(docs, max(1, -(-int(count[1] or 0) // BUCKET_SHINGLES)), frequent, n)
     twins = name.groupBy("d1").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("u", "v")
     edges = materialise(
         found.join(name.select(F.col("d1").alias("u"), F.col("node").alias("a")), "u")
@@ -343,7 +396,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").union(twins).distinct(), "candidates")
     nodes = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
     texts = materialise(docs.join(nodes, "doc_id", "left_semi"), "texts")
-    near = materialise(verify(edges, texts, n), "links")
+    near = materialise(verify(possible(edges, classes), texts, n), "links")
     comp = materialise(components(near), "components")
 
     # candidates that failed and still stand apart: their components meet in tiles
@@ -353,7 +406,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = (texts.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text").join(mixed, "component", "left_semi")
               .select("doc_id", "component", "text"))
-    crossing = materialise(cross_pairs(tile_rows(placed, n)), "crossing")
+    crossing = materialise(possible(cross_pairs(tile_rows(placed, frequent, n)), classes), "crossing")
     late = materialise(verify(crossing, texts, n), "links")
     if late.take(1):
         comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late))

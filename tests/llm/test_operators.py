@@ -349,8 +349,11 @@ def test_cells_miss_no_linked_pair():
         b = np.concatenate((a[out:], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 9)), dtype=np.uint64)))
         a, b = np.unique(a), np.unique(b)
         if len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
-            tile, of = ngram_join.cell_hashes(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
-            assert set(tile[of == 0].tolist()) & set(tile[of == 1].tolist())
+            both = np.concatenate((a, b))
+            for share in (0, .1, .5, 1):  # whichever shingles count as frequent
+                frequent = np.unique(both[rng.random(len(both)) < share])
+                tile, of = ngram_join.cell_hashes(both, np.array([0, len(a), len(a) + len(b)]), frequent)
+                assert set(tile[of == 0].tolist()) & set(tile[of == 1].tolist())
             assert ngram_join.linked(a, b)
 
 

@@ -26,9 +26,12 @@ and a bucket gets no more than one entry of a tile from a block.
 
 Checks.  A candidate's two sets are compared by size and by parity bitmaps of about
 a bit a shingle (bits that differ bound the overlap from above); what passes is
-compared exactly, as sorted arrays.  After the first check, sets of one tile may still stand in different components; exactly
-these, found from the failed candidates, are paired tile by tile and checked too.
-So no link between components is missed, and pairs within one are not needed.
+compared exactly, as sorted arrays.  After the first check, sets of one tile may still stand in different components.  In up to
+``ROUNDS`` further rounds each component of such a tile is checked by one member
+against one of another, drawn anew, which joins near copies without pairing them.
+What then still stands apart within a tile is paired exhaustively, as far as sizes
+and bitmaps allow, and checked.  So no link between components is missed, and pairs
+within one are not needed.
 
 Texts without words, null or empty, have an empty set and link with nothing.
 Rows with the same doc_id but other texts count as one document.  Rows with a null
@@ -65,6 +68,8 @@ N, NUM, DEN = 5, 4, 5
 PART_BYTES, CELLS, BUCKET_SHINGLES = 4 << 20, 3_000_000, 4_000_000
 #: Candidates that one task checks against one set.
 SALT = 2000
+#: Rounds that join components of a tile by single members before pairs are listed.
+ROUNDS = 4
 #: Documents of the sample for frequent shingles, how many must have one, and most of these.
 SAMPLE, FREQUENT, MOST = 4096, 3, 200_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -356,26 +361,70 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def tile_rows(texts: DataFrame, frequent, n: int = N) -> DataFrame:
-    """Every filled cell of texts (doc_id, component, text): tile, doc_id, component."""
+def mixed_tiles(texts: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
+    """Members (tile, doc_id) of the tiles of texts (doc_id, component, text) that hold
+    several components.  Cells travel packed, 8 bytes each, as in ``candidates``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            node, comp = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 1))
             for i, h, offsets in text_sets(b.column(2), n):
                 tile, of = cell_hashes(h, offsets, frequent.value)
-                take = pa.array(of + i)
-                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), b.column(0).take(take), b.column(1).take(take)],
-                                                 names=["tile", "doc_id", "component"])
+                bucket = ((tile >> U64(48)) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                tile, of = tile[order], of[order] + i
+                at, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
+                for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                    who, places = np.unique(of[at[k]:at[k + 1]], return_inverse=True)
+                    low = np.ascontiguousarray(tile[at[k]:at[k + 1]]).view(np.uint8).reshape(-1, 8)[:, :6]
+                    rows.append((k, low.tobytes(), places.astype(np.uint16).tobytes(), node[who].tobytes(), comp[who].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for r in range(table.num_rows):
+            t, p, m, c = (table.column(x)[r].as_py() for x in ("tiles", "places", "nodes", "edges"))
+            low = np.zeros((len(t) // 6, 8), dtype=np.uint8)
+            low[:, :6] = np.frombuffer(t, dtype=np.uint8).reshape(-1, 6)
+            places = np.frombuffer(p, dtype=np.uint16)
+            for x, y in zip(parts, (low.view(np.int64)[:, 0], np.frombuffer(m, np.int64)[places], np.frombuffer(c, np.int64)[places]), strict=True):
+                x.append(y)
+        tile, node, comp = map(np.concatenate, parts)
+        order = np.argsort(tile)
+        tile, node, comp = tile[order], node[order], comp[order]
+        first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        mixed = np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first)
+        keep = np.repeat(mixed, np.diff(np.append(first, len(tile))))
+        # low halves of tiles are unique within a bucket: the bucket goes on top
+        return pa.table({"tile": tile[keep] | np.int64(table.column("bucket")[0].as_py()) << 48, "doc_id": node[keep]})
+
+    return texts.mapInArrow(run, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "tile long, doc_id long")
 
-    return texts.mapInArrow(run, "tile long, doc_id long, component long")
 
+def member_pairs(rows: DataFrame, r: int) -> DataFrame:
+    """One pair for each further component of a tile: a member of it and one of another
+    component, both drawn by hash in round ``r``."""
+    reps = rows.groupBy("tile", "component").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(r)), "doc_id")).alias("m"))
+    heads = reps.groupBy("tile").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    both = reps.join(heads, "tile").select(F.col("m.doc_id").alias("a"), F.col("h.doc_id").alias("b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one tile that stand in different components."""
+
+def cross_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of one tile that stand in different components and that sizes and, for
+    sets of up to some hundred shingles, 256 parity bits allow."""
     mixed = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tile")
-    rows = materialise(rows.join(mixed, "tile", "left_semi"), "tiles")
+    word = lambda i: F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("long")
+    # longer bitmaps are left to the next step: here each set gives the first 256 bits of one length
+    rows = rows.join(mixed, "tile", "left_semi").join(known.select(
+        F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.octet_length("bits").alias("len"), *[word(i).alias(f"b{i}") for i in range(4)]), "doc_id")
+    rows = materialise(rows, "tiles")
     a, b = rows.alias("a"), rows.alias("b")
-    return (a.join(b, (F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") < F.col("b.component")))
-            .select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct())
+    differ = sum((F.coalesce(F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))), F.lit(0)) for i in range(4)), F.lit(0))
+    can = ((F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") < F.col("b.component"))
+           & (NUM * F.col("a.n") <= DEN * F.col("b.n")) & (NUM * F.col("b.n") <= DEN * F.col("a.n"))
+           & ((F.col("a.len") != F.col("b.len")) | (9 * differ <= F.col("a.n") + F.col("b.n"))))
+    return a.join(b, can).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 
 
 def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -388,7 +437,8 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["d1", "d2", "n_shingles"]
     classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node")), "classes")
     name = classes.where("node is not null").select("d1", "node")
-    found = candidates(docs, max(1, -(-int(count[1] or 0) // BUCKET_SHINGLES)), frequent, n)
+    buckets = max(1, -(-int(count[1] or 0) // BUCKET_SHINGLES))
+    found = candidates(docs, buckets, frequent, n)
     twins = name.groupBy("d1").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("u", "v")
     edges = materialise(
         found.join(name.select(F.col("d1").alias("u"), F.col("node").alias("a")), "u")
@@ -406,10 +456,17 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = (texts.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text").join(mixed, "component", "left_semi")
               .select("doc_id", "component", "text"))
-    crossing = materialise(possible(cross_pairs(tile_rows(placed, frequent, n)), classes), "crossing")
-    late = materialise(verify(crossing, texts, n), "links")
-    if late.take(1):
-        comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late))
+    members = materialise(mixed_tiles(placed, buckets, frequent, n), "tiles")
+
+    def current() -> DataFrame:
+        return (members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                .select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+
+    for r in range(ROUNDS + 1):
+        pairs = member_pairs(current(), r) if r < ROUNDS else cross_pairs(current(), classes)
+        late = materialise(verify(materialise(possible(pairs, classes), "pairs"), texts, n), "links")
+        if late.take(1):
+            comp = materialise(components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "components")
     out = classes.join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     return (known.where("d1 is not null").join(out, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .union(known.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))

@@ -1,8 +1,6 @@
 """Column expressions shared by the operators.
 
-All of them are built-in Spark expressions (whole-stage codegen friendly);
-the only Python code is ``t_sf`` in ``functions.tdist`` and it runs on the
-one-row result of a test.
+All of them are built-in Spark expressions (whole-stage codegen friendly).
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ inlined as literals; no data is collected to the driver.
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,20 +20,21 @@ from churnlens.plans.quantiles import quantile_scalars
 from churnlens.sources.bindings import Domain
 
 DUP = "__dup"
+SUFFIX = re.compile(DUP + r"\d+$")
 
 
 # ------------------------------------------------------------ column names
 def normalise_columns(df: DataFrame, lower: bool = True) -> DataFrame:
-    """Trim (and lower-case) names; a repeated name gets a positional suffix
+    """Trim (and lower-case) names; a repeated name (whatever its case) gets a positional suffix
     so that later steps can address every copy (T2).  Renaming is positional
     (``toDF``), so it works even when the source has names equal up to case."""
     seen: dict[str, int] = {}
     out = []
     for name in df.columns:
         n = name.strip().lower() if lower else name
-        k = seen.get(n, 0)
+        k = seen.get(n.lower(), 0)
         out.append(n if k == 0 else f"{n}{DUP}{k}")
-        seen[n] = k + 1
+        seen[n.lower()] = k + 1
     return df.toDF(*out)
 
 
@@ -59,7 +62,7 @@ def coalesce_alias(df: DataFrame, target: str, *aliases: str) -> DataFrame:
 
 def drop_repeated(df: DataFrame) -> DataFrame:
     """Keep the first of equally named columns."""
-    return df.select(*[c for c in df.columns if DUP not in c])
+    return df.select(*[c for c in df.columns if not SUFFIX.search(c)])
 
 
 # ---------------------------------------------------------------- Q19-Q21
@@ -83,13 +86,15 @@ def clean_activity(raw: DataFrame, iqr_fence: float = 1.5) -> DataFrame:
 
 
 def clean_documents(raw: DataFrame) -> DataFrame:
-    """Surveys and onboarding events: keep the first of repeated columns,
-    merge ``customerId``/``memberId`` into the snake-case ids (the intent of
-    the notebook, T3) and drop the aliases and ``_id``."""
-    df = drop_repeated(normalise_columns(raw, lower=False))
-    df = coalesce_alias(df, "customer_id", "customerId", "customerid")
-    df = coalesce_alias(df, "member_id", "memberId", "memberid")
-    return df.drop("_id")
+    """Surveys and onboarding events: merge every copy of ``customerId`` and
+    ``memberId``, whatever their case, into the snake-case ids (the intent of the
+    notebook, T3), then keep the first of other repeated columns and drop ``_id``."""
+    df = normalise_columns(raw, lower=False)
+    for target in ("customer_id", "member_id"):
+        plain = target.replace("_", "")
+        names = [c for c in df.columns if SUFFIX.sub("", c).strip().lower() in (target, plain)]
+        df = coalesce_alias(df, target, *dict.fromkeys(SUFFIX.sub("", c) for c in names if c != target))
+    return drop_repeated(df).drop("_id")
 
 
 # ---------------------------------------------------------------- Q22-Q27

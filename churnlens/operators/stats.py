@@ -21,8 +21,10 @@ from churnlens.sources.bindings import Domain
 ALPHA = 0.05
 
 
-def _weights(c: Cleaned, group_flags: dict[str, F.Column], unit: str) -> DataFrame:
-    """Per customer: score and the number of merged rows in each group."""
+def _weights(c: Cleaned, group_flags: dict[str, F.Column], unit: str, without_plan: str | None = None) -> DataFrame:
+    """Per customer: score and the number of merged rows in each group.  A customer
+    without subscriptions has one merged row per record; it counts in the group
+    ``without_plan``, if any."""
     a = c.activity.dropDuplicates().filter(F.col("customer_id").isNotNull())
     A = a.groupBy("customer_id").agg(F.count(F.lit(1)).alias("a_rows"))
     sp = subs_with_plans(c).dropDuplicates()
@@ -34,22 +36,23 @@ def _weights(c: Cleaned, group_flags: dict[str, F.Column], unit: str) -> DataFra
     fc = F.greatest(F.coalesce(F.col("c_rows"), F.lit(0)), F.lit(1))
     cols = [F.col("customer_id"), F.col("engagement_score").alias("x")]
     for g in group_flags:
-        w = F.col("a_rows") * fc * F.col(f"s_{g}")
-        cols.append((F.when(F.col(f"s_{g}") > 0, F.lit(1)).otherwise(F.lit(0)) if unit == "customer" else w).alias(f"w_{g}"))
+        rows = F.when(F.col("s_rows").isNull(), F.lit(int(g == without_plan))).otherwise(F.coalesce(F.col(f"s_{g}"), F.lit(0)))
+        cols.append((F.when(rows > 0, F.lit(1)).otherwise(F.lit(0)) if unit == "customer" else F.col("a_rows") * fc * rows).alias(f"w_{g}"))
     return j.select(*cols).filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _moments(w: DataFrame, groups: list[str]) -> DataFrame:
+def _moments(w: DataFrame, groups: list[str], nunique: bool = False) -> DataFrame:
     """n, mean and sample variance per group in two passes (mean first, then
     squared deviations) for numerical stability; one row."""
     m = w.agg(*[F.sum(f"w_{g}").alias(f"n_{g}") for g in groups],
-              *[(F.sum(F.col(f"w_{g}") * F.col("x")) / F.sum(f"w_{g}")).alias(f"mean_{g}") for g in groups],
-              *[F.count_distinct(F.when(F.col(f"w_{g}") > 0, F.col("x"))).alias(f"nunique_{g}") for g in groups]).first()
-    dev = w.agg(*[F.sum(F.col(f"w_{g}") * (F.col("x") - F.lit(m[f"mean_{g}"])) ** 2).alias(f"ss_{g}") for g in groups])
-    out = [F.lit(m[f"n_{g}"]).cast("long").alias(f"n_{g}") for g in groups]
-    out += [F.lit(m[f"nunique_{g}"]).cast("long").alias(f"nunique_{g}") for g in groups]
+              *[F.try_divide(F.sum(F.col(f"w_{g}") * F.col("x")), F.sum(f"w_{g}")).alias(f"mean_{g}") for g in groups],
+              *([F.count_distinct(F.when(F.col(f"w_{g}") > 0, F.col("x"))).alias(f"nunique_{g}") for g in groups] if nunique else [])).first()
+    dev = w.agg(*[F.sum(F.col(f"w_{g}") * (F.col("x") - F.lit(m[f"mean_{g}"]).cast("double")) ** 2).alias(f"ss_{g}") for g in groups])
+    out = [F.lit(m[f"n_{g}"] or 0).cast("long").alias(f"n_{g}") for g in groups]
+    if nunique:
+        out += [F.lit(m[f"nunique_{g}"]).cast("long").alias(f"nunique_{g}") for g in groups]
     out += [F.lit(m[f"mean_{g}"]).cast("double").alias(f"mean_{g}") for g in groups]
-    out += [(F.col(f"ss_{g}") / (F.lit(m[f"n_{g}"]) - 1)).alias(f"var_{g}") for g in groups]
+    out += [F.try_divide(F.col(f"ss_{g}"), F.lit((m[f"n_{g}"] or 0) - 1).cast("double")).alias(f"var_{g}") for g in groups]
     return dev.select(*out)
 
 
@@ -62,15 +65,19 @@ def _finish(r: DataFrame, t, dof, extra_reject=None) -> DataFrame:
     return r.withColumn("reject_h0", F.coalesce(reject, F.lit(False)))
 
 
+def _welch(a: str, b: str):
+    """t and degrees of freedom; null for a group of fewer than two or without any variance."""
+    va, vb = (F.try_divide(F.col(f"var_{g}"), F.col(f"n_{g}")) for g in (a, b))
+    t = F.try_divide(F.col(f"mean_{a}") - F.col(f"mean_{b}"), F.sqrt(va + vb))
+    parts = F.try_divide(va ** 2, F.col(f"n_{a}") - 1) + F.try_divide(vb ** 2, F.col(f"n_{b}") - 1)
+    return t, F.try_divide((va + vb) ** 2, parts)
+
+
 def ttest_engagement_churn(c: Cleaned, unit: str = "row") -> DataFrame:
     """Welch test of engagement, active vs churned subscriptions (Q36)."""
     flags = {"active": F.col("is_churned") == F.lit(False), "churned": F.col("is_churned") == F.lit(True)}
     m = _moments(_weights(c, flags, unit), ["active", "churned"])
-    va = F.col("var_active") / F.col("n_active")
-    vc = F.col("var_churned") / F.col("n_churned")
-    t = (F.col("mean_active") - F.col("mean_churned")) / F.sqrt(va + vc)
-    dof = (va + vc) ** 2 / (va ** 2 / (F.col("n_active") - 1) + vc ** 2 / (F.col("n_churned") - 1))
-    return _finish(m, t, dof).drop("nunique_active", "nunique_churned")
+    return _finish(m, *_welch("active", "churned"))
 
 
 def ttest_paid_free(c: Cleaned, unit: str = "row", equal_var: bool = True) -> DataFrame:
@@ -78,28 +85,15 @@ def ttest_paid_free(c: Cleaned, unit: str = "row", equal_var: bool = True) -> Da
     counts as paid (pandas ``!=``, T20); reject only if paid is higher."""
     tier = F.lower(F.trim(F.col("plan_tier")))
     flags = {"paid": F.coalesce(tier != "free", F.lit(True)), "free": F.coalesce(tier == "free", F.lit(False))}
-    w = _weights(c, flags, unit)
-    # a customer without subscriptions still has one merged row per record
-    # with a missing tier, which counts as paid
-    if unit == "row":
-        c_nosub = c.activity.dropDuplicates().filter(F.col("customer_id").isNotNull())
-        has_sub = subs_with_plans(c).select("customer_id").distinct().withColumn("_has", F.lit(1))
-        extra = (c_nosub.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_a"))
-                 .join(has_sub, "customer_id", "left")
-                 .join(c.customers.dropDuplicates().groupBy("customer_id").agg(F.count(F.lit(1)).alias("_c")), "customer_id", "left")
-                 .select("customer_id", F.when(F.col("_has").isNull(), F.col("_a") * F.greatest(F.coalesce(F.col("_c"), F.lit(0)), F.lit(1)))
-                         .otherwise(F.lit(0)).alias("_extra")))
-        w = w.join(extra, "customer_id", "left").withColumn("w_paid", F.col("w_paid") + F.coalesce(F.col("_extra"), F.lit(0))).drop("_extra")
-    m = _moments(w, ["paid", "free"])
+    w = _weights(c, flags, unit, without_plan="paid")
+    m = _moments(w, ["paid", "free"], nunique=True)
     n1, n2 = F.col("n_paid"), F.col("n_free")
     if equal_var:
-        sp2 = ((n1 - 1) * F.col("var_paid") + (n2 - 1) * F.col("var_free")) / (n1 + n2 - 2)
-        t = (F.col("mean_paid") - F.col("mean_free")) / F.sqrt(sp2 * (1 / n1 + 1 / n2))
+        sp2 = F.try_divide((n1 - 1) * F.col("var_paid") + (n2 - 1) * F.col("var_free"), n1 + n2 - 2)
+        t = F.try_divide(F.col("mean_paid") - F.col("mean_free"), F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
         dof = (n1 + n2 - 2).cast("double")
     else:
-        v1, v2 = F.col("var_paid") / n1, F.col("var_free") / n2
-        t = (F.col("mean_paid") - F.col("mean_free")) / F.sqrt(v1 + v2)
-        dof = (v1 + v2) ** 2 / (v1 ** 2 / (n1 - 1) + v2 ** 2 / (n2 - 1))
+        t, dof = _welch("paid", "free")
     return _finish(m, t, dof, F.col("mean_paid") > F.col("mean_free"))
 
 

@@ -65,18 +65,17 @@ SELECT c.c_custkey AS customer_id,
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "accounts": """
 SELECT s_suppkey AS customer_id,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'Acme N ' ELSE 'ACMEN' END || CAST(s_nationkey AS VARCHAR) AS company_name,
-       'ops@d' || CAST(s_suppkey % 40 AS VARCHAR) || '.com' AS contact_email
+       CASE WHEN s_suppkey % 2 = 0 THEN 'Acme N ' ELSE 'ACMEN' END || CAST(s_suppkey // 4 AS VARCHAR) AS company_name,
+       'ops@d' || CAST(s_suppkey // 3 AS VARCHAR) || '.com' AS contact_email
 FROM supplier""",
     "team_members": """
 SELECT l_suppkey * 10000000 + l_partkey AS member_id,
        l_suppkey AS customer_id,
-       'u' || CAST(l_partkey AS VARCHAR) || '@x.com' AS email,
+       'u' || CAST(l_partkey AS VARCHAR) || '.' || CAST(l_suppkey // 2 AS VARCHAR) || '@x.com' AS email,
        CASE WHEN l_partkey % 5 = 0 THEN 'admin' ELSE 'member' END AS role,
        CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1995-01-01 00:00:00' END AS joined_at,
        CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE min(l_shipdate) END AS last_login_at
 FROM lineitem
-WHERE l_shipdate < TIMESTAMP '1995-02-01 00:00:00'
 GROUP BY l_suppkey, l_partkey""",
     "feature_flags": """
 SELECT p_partkey AS flag_id,

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from churnlens.plans.session import ensure_checkpoint_dir
 
 
+#: Quotes are doubled, blanks around values and line breaks in them kept: what any CSV reader undoes.
+CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_READ = CSV_WRITE | {"multiLine": True, "nullValue": "", "emptyValue": ""}
+
+
 def default_export_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint location (never a
     machine-local temporary folder)."""
@@ -31,7 +36,7 @@ def export_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv")
         if fmt == "csv":
             # CSV has no timestamp_ntz type: write its text form
             cols = [F.col(c).cast("string").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes]
-            df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+            df.select(*cols).write.mode("overwrite").options(**CSV_WRITE).csv(path)
         else:
             w.parquet(path)
         paths[name] = path
@@ -42,6 +47,6 @@ def read_back_counts(spark: SparkSession, paths: dict[str, str], fmt: str = "csv
     """Row count per exported table, read from the written files."""
     parts = []
     for name, path in paths.items():
-        r = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+        r = spark.read.options(**CSV_READ).csv(path) if fmt == "csv" else spark.read.parquet(path)
         parts.append(r.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows"))
     return reduce(DataFrame.unionByName, parts)

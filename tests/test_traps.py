@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import parse_ts_coerce, sunday_week
-from churnlens.functions.tdist import t_two_sided_p
+from churnlens.functions.tdist import p_value
 from churnlens.operators import activity as A
 from churnlens.operators import quality as Q
 from churnlens.operators import reports as R
@@ -208,10 +208,15 @@ def test_iqr_fence_is_inclusive(spark):
 
 
 # ------------------------------------------------------------ M1/M2
-def test_t_distribution_tail_matches_tables():
-    assert t_two_sided_p(2.228, 10) == pytest.approx(0.05, abs=5e-4)
-    assert t_two_sided_p(1.96, 1e6) == pytest.approx(0.05, abs=1e-4)
-    assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
+def test_t_distribution_tail_matches_tables(spark):
+    cases = [(2.228, 10, 0.05, 5e-4), (1.96, 1e6, 0.05, 1e-4), (0.0, 5, 1.0, 1e-9), (1.0, 1, 0.5, 1e-9), (-3.0, 2, 0.0954659662667889, 1e-9),
+             (3.0, 1e8, 0.00269979634, 1e-9), (3.0, 1e12, 0.0026997960632602, 1e-10), (3.0, 1e14, 0.0026997960632602, 1e-10), (3.0, 1e15, 0.0026997960632602, 1e-10)]
+    df = spark.createDataFrame([(float(t), float(n)) for t, n, *_ in cases], "t double, n double")
+    got = {(r.t, r.n): r.p for r in df.select("t", "n", p_value(F.col("t"), F.col("n")).alias("p")).collect()}
+    for t, n, want, tol in cases:
+        assert got[float(t), float(n)] == pytest.approx(want, abs=tol)
+    none = spark.createDataFrame([(None, 3.0), (1.0, None), (float("nan"), 3.0), (1.0, 0.0)], "t double, n double")
+    assert [r.p for r in none.select(p_value(F.col("t"), F.col("n")).alias("p")).collect()] == [None] * 4
 
 
 # ------------------------------------------------------------ plan checks

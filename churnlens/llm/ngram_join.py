@@ -68,8 +68,8 @@ N, NUM, DEN = 5, 4, 5
 PART_BYTES, CELLS, BUCKET_SHINGLES = 4 << 20, 3_000_000, 4_000_000
 #: Candidates that one task checks against one set.
 SALT = 2000
-#: Rounds that join components of a tile by single members before pairs are listed.
-ROUNDS = 4
+#: Rounds that join components of a tile by single members before pairs are listed (each costs some jobs).
+ROUNDS = 1
 #: Documents of the sample for frequent shingles, how many must have one, and most of these.
 SAMPLE, FREQUENT, MOST = 4096, 3, 200_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))

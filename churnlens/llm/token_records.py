@@ -15,7 +15,7 @@ file, byte offset, length, ids, ids before it in the file) is the same job's
 output.  A reader can take records in any order from it.
 
 Any input gives a defined result: null and empty texts are records of the end id
-alone; a null doc_id comes first; rows with equal doc_id are ordered by text;
+alone; a null doc_id comes first; rows with equal doc_id are ordered by a hash of the text;
 an empty table gives no files and an empty index; other columns are ignored.
 """
 
@@ -85,8 +85,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, voc
     spark = docs.sparkSession
     wide = "<u2" if max(vocab_size, end_id + 1) <= 65536 else "<u4"
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text"))
+    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+            .repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, where, before, out, name = TaskContext.get().partitionId(), 0, 0, None, ""

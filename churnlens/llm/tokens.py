@@ -17,7 +17,7 @@ from array import array
 
 #: Cached pieces of a Python worker (about 200 bytes each): two generations of at
 #: most so many; when the younger is full, the older goes.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 #: Blanks that are not single: such texts go through the library whole where blanks count.
 _ODD = re.compile(r"^[ \n]|[ \n]$|[ \n]{2}|[^\S \n]")
 _MARKS = frozenset(".,;:!?")
@@ -41,6 +41,7 @@ class Pieces(dict):
     def __init__(self, path: str):
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -67,8 +68,14 @@ class Pieces(dict):
 
     def _short(self, piece: str) -> bytes | None:
         """Ids of a plain word; None if the piece is not one."""
-        line, end = piece[0] == "\n", piece[-1] if piece[-1] in _MARKS else ""
-        word = piece[line:len(piece) - len(end)]
+        if piece[-1] in _MARKS:  # the word before the mark may be known
+            if not piece[:-1].lstrip("\n").isalpha():
+                return None
+            if piece[-1] not in self.marks:
+                self.marks[piece[-1]] = self._model(piece[-1], "")
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        line = piece[0] == "\n"
+        word = piece[line:]
         if not word.isalpha() or max(word) >= _LATIN_END:
             return None
         if self.kind == "dropped":
@@ -78,7 +85,7 @@ class Pieces(dict):
             ids = self._model(word, "")
         else:
             ids = (self._model("", "Ċ") if line else b"") + self._model(word, "" if line else "Ġ")
-        return ids + self._model(end, "") if end else ids
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)

@@ -52,6 +52,7 @@ class Pieces(dict):
         # whether pieces can be joined: without their blanks, with them, or not at all
         self.kind = ("dropped" if one("ab cd") == one("ab") + one("cd") and one("ab cd\nef") == one("ab") + one("cd") + one("ef")
                      else "kept" if one("ab cd\nef") == one("ab") + one(" cd") + one("\nef") else "whole")
+        self.short = False
         self.short = self.kind != "whole" and all(
             self._short(p) in (None, self.whole(self._spaced(p))) for w in _PROBES for p in (w, w + ".", "\n" + w))
 

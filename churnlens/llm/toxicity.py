@@ -75,7 +75,7 @@ class Words:
         self.grams = {k: ((x & U64(BUCKETS - 1)).astype(np.int32), at, m) for k, x, at, m in (
             ("word", hashes, each, np.ones_like(n)), ("tri", mix(before << U64(16) | mid << U64(8) | after), row, n),
             ("begin", begins.ravel(), each * len(BEGINS), np.full_like(n, len(BEGINS))))}
-        self.distinct = len(n)
+        self.distinct, self.doc_word = len(n), first
         # windows: one for every STRIDE words, until the last word is in one; an empty text has one
         words = np.diff(first)
         number = np.maximum(1, -(-(words - WINDOW) // STRIDE) + 1)
@@ -186,7 +186,7 @@ def backward(p: dict, inputs: np.ndarray, kept: tuple, dlogit: np.ndarray) -> tu
     return g, dinputs[:-1]
 
 
-def score_windows(p: dict, words: Words, which: np.ndarray | None = None, step: int = 16384) -> np.ndarray:
+def score_windows(p: dict, words: Words, which: np.ndarray | None = None, step: int = 4096) -> np.ndarray:
     which = np.arange(len(words.doc)) if which is None else which
     inputs = words.inputs(p)
     return np.concatenate([forward(p, words.window_ids(which[i:i + step]), inputs) for i in range(0, len(which), step)] or [np.zeros(0)])
@@ -196,16 +196,15 @@ def _log_odds(words: Words, y: np.ndarray) -> dict[str, tuple[np.ndarray, np.nda
     """Of each bucket of words and trigrams: how much likelier toxic documents hold
     it, and whether ``RARE`` documents have it.  What fewer have would only tell the
     sample's documents apart: it keeps a zero vector, as what no document has."""
-    doc_of = np.searchsorted(words.doc_first_word, np.arange(len(words.ids)), "right") - 1
-    n = max(words.distinct, 1)
-    pairs = np.unique(doc_of.astype(np.int64) * n + words.ids)
+    held = {kind: np.zeros((2, BUCKETS), np.int64) for kind in KINDS}
+    for doc, label in enumerate(y.astype(int).tolist()):  # one document at a time keeps this small
+        own = np.unique(words.ids[words.doc_word[doc]:words.doc_word[doc + 1]])
+        for kind in KINDS:
+            has = np.zeros(BUCKETS, bool)
+            has[words.of(kind, own)[0]] = True
+            held[kind][label] += has
     out = {}
-    for kind in KINDS:
-        key, times = words.of(kind, pairs % n)
-        both = np.unique(np.repeat(pairs // n, times) * BUCKETS + key)
-        doc, key = both // BUCKETS, both % BUCKETS
-        bad = np.bincount(key, weights=y[doc], minlength=BUCKETS)
-        good = np.bincount(key, weights=1 - y[doc], minlength=BUCKETS)
+    for kind, (good, bad) in held.items():
         odds = np.clip(np.log((bad + .5) / (y.sum() + 1)) - np.log((good + .5) / ((1 - y).sum() + 1)), -3, 6)
         known = bad + good >= RARE
         out[kind] = np.where(known, odds, 0).astype(np.float32), known[:, None].astype(np.float32)
@@ -220,7 +219,6 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 7) -
     rng = np.random.default_rng(seed)
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
     words = Words(data, offsets)
-    words.doc_first_word = np.searchsorted(word_spans(data, offsets, ALNUM)[0], offsets)[:-1]
     p = init(rng)
     odds = _log_odds(words, y)
     for k in KINDS:

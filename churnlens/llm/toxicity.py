@@ -97,15 +97,18 @@ class Words:
         n = count[which]
         return buckets[np.arange(int(n.sum())) + np.repeat(row[which] - (np.cumsum(n) - n), n)], n
 
-    def mean(self, kind: str, table: np.ndarray) -> np.ndarray:
+    def mean(self, kind: str, table: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
         buckets, row, count = self.grams[kind]
-        if not self.distinct:
+        if which is not None:
+            buckets, count = self.of(kind, which)
+            row = np.cumsum(count) - count
+        if not len(count):
             return np.zeros((0, *table.shape[1:]), table.dtype)
         return (np.add.reduceat(table[buckets], row, axis=0).T / count.astype(np.float32)).T
 
-    def inputs(self, p: dict) -> np.ndarray:
-        """Input vectors of the distinct words."""
-        return np.concatenate([self.mean(k, p[k]) for k in KINDS], axis=1)
+    def inputs(self, p: dict, which: np.ndarray | None = None) -> np.ndarray:
+        """Input vectors of the distinct words, or of some."""
+        return np.concatenate([self.mean(k, p[k], which) for k in KINDS], axis=1)
 
 
 def sigmoid(x):
@@ -154,6 +157,17 @@ def forward(p: dict, ids: np.ndarray, inputs: np.ndarray, keep: bool = False):
     return (logits, (mask, idx, cache, y, k, w, pooled)) if keep else logits
 
 
+def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows that go to each of ``n`` places."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def backward(p: dict, inputs: np.ndarray, kept: tuple, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the weights and of the input vectors."""
     mask, idx, cache, y, k, w, pooled = kept
@@ -169,7 +183,7 @@ def backward(p: dict, inputs: np.ndarray, kept: tuple, dlogit: np.ndarray) -> tu
     dy = dy + dk @ p["a"].T
     dinputs = np.zeros((len(inputs) + 1, inputs.shape[1]), np.float32)
     for i, d in enumerate("fb"):
-        ds, gu, dtable = np.zeros_like(dy[0, :, :h]), np.zeros_like(p[f"u{d}"]), np.zeros((len(inputs) + 1, 3 * h), np.float32)
+        ds, gu, dx = np.zeros_like(dy[0, :, :h]), np.zeros_like(p[f"u{d}"]), np.empty((*idx.shape, 3 * h), np.float32)
         for t, s, z, r, c, gn in reversed(cache[d]):
             ds = ds + dy[t, :, i * h:(i + 1) * h]
             m = mask[t]
@@ -178,8 +192,9 @@ def backward(p: dict, inputs: np.ndarray, kept: tuple, dlogit: np.ndarray) -> tu
             dr = dc * gn * r * (1 - r)
             dg = np.concatenate((dz, dr, dc * r), axis=1)
             gu += s.T @ dg
-            np.add.at(dtable, idx[t], np.concatenate((dz, dr, dc), axis=1))
+            dx[t] = np.concatenate((dz, dr, dc), axis=1)
             ds = ds * (1 - m * (1 - z)) + dg @ p[f"u{d}"].T
+        dtable = _sum_rows(idx.ravel(), dx.reshape(-1, 3 * h), len(inputs) + 1)
         dtable[-1] = 0
         g[f"u{d}"], g[f"c{d}"], g[f"x{d}"] = gu, dtable.sum(0), inputs.T @ dtable[:-1]
         dinputs += dtable @ p[f"x{d}"].T
@@ -242,26 +257,21 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 7) -
         hard = rng.choice(hard, min(len(hard), len(texts) // 2), replace=False)
         chosen = rng.permutation(np.unique(np.concatenate((top, others, hard))))
         rate = .012 * (1 - epoch / epochs) + .001
-        inputs = words.inputs(p)
         for i in range(0, len(chosen), 256):
             which = chosen[i:i + 256]
-            if i % 2048 == 0:
-                inputs = words.inputs(p)
             ids = words.window_ids(which)
             used, local = np.unique(ids, return_inverse=True)
             local = local.reshape(ids.shape) - (used[0] < 0)
             used = used[used >= 0]
-            x = inputs[used]
+            x = words.inputs(p, used)
             logits, kept = forward(p, local, x, keep=True)
             target = toxic[which].astype(np.float32)
             weight = np.where(target > 0, (1 - target).mean() + .05, target.mean() + .05) * 2
             g, dx = backward(p, x, kept, (sigmoid(logits) - target) * weight / len(which))
             for c, k in enumerate(KINDS):
                 key, times = words.of(k, used)
-                own = dx[:, c * VECTOR:(c + 1) * VECTOR] / np.maximum(times, 1)[:, None]
-                g[k] = np.zeros_like(p[k])
-                np.add.at(g[k], key, np.repeat(own, times, axis=0))
-                g[k] *= odds[k][1]
+                own = np.repeat(dx[:, c * VECTOR:(c + 1) * VECTOR] / np.maximum(times, 1)[:, None], times, axis=0)
+                g[k] = _sum_rows(key, own, BUCKETS) * odds[k][1]
             step += 1
             for k in p:
                 m[k] += .1 * (g[k] - m[k])

@@ -58,8 +58,7 @@ class Words:
         s, n = starts[one], (ends - starts)[one]
         row = np.cumsum(n) - n  # of each word's trigrams
         at = np.arange(int(n.sum())) + np.repeat(s - row, n)
-        low = _LOWER[data].astype(np.uint64)
-        mid = low[at] if len(at) else np.zeros(0, U64)
+        mid = _LOWER[data[at]].astype(U64)
         before, after = np.roll(mid, 1), np.roll(mid, -1)
         if len(at):
             before[row] = 0

@@ -12,7 +12,7 @@ per-group array is ever built.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import day_text, days_between, parse_ts_strict, safe_div, seconds_between, sunday_week
@@ -31,7 +31,7 @@ BOUND_STEPS = ["signup", "view", "click", "purchase", "error"]
 # Upsell priority labels (with their leading blanks) and bounds.
 HIGH, MEDIUM, MONITOR = " HIGH PRIORITY", "MEDIUM PRIORITY", " MONITOR"
 
-PERCENTILE_ACCURACY = 10000
+PERCENTILE_ACCURACY = 100000
 
 
 def with_ts(activity: DataFrame) -> DataFrame:
@@ -81,16 +81,19 @@ def feature_retention(activity: DataFrame, days: int = 7) -> DataFrame:
     """Per feature: customers, those who used it again after their first use
     and within ``days`` days of it, and the rate in %.
 
-    The per-(customer, feature) lookup of later uses is expressed as: first
-    use by aggregation, joined back to the records, then a conditional max -
-    one pass over the records, no per-group lookup."""
+    The records are reduced to the first and last use of each (customer,
+    feature, day) before the shuffle.  A use counts if the first day has a later
+    one, or if the next day with any begins in time.  The window orders the days
+    of one customer and feature, so the calendar bounds it."""
     a = with_ts(activity).select("customer_id", F.col("event_type").alias("feature"), "_ts")
-    first = a.groupBy(F.col("customer_id").alias("_c"), F.col("feature").alias("_f")).agg(
-        F.min("_ts").alias("first_use"))
-    j = a.join(first, a["customer_id"].eqNullSafe(first["_c"]) & a["feature"].eqNullSafe(first["_f"]))
-    again = (j["_ts"] > j["first_use"]) & (j["_ts"] <= j["first_use"] + F.expr(f"INTERVAL {int(days)} DAYS"))
-    per_user = j.groupBy("_c", "_f").agg(F.max(F.when(again, 1).otherwise(0)).alias("retained"))
-    return (per_user.groupBy(F.col("_f").alias("feature")).agg(
+    per_day = a.groupBy("customer_id", "feature", F.to_date("_ts").alias("_day")).agg(
+        F.min("_ts").alias("_first"), F.max("_ts").alias("_last"))
+    w = Window.partitionBy("customer_id", "feature").orderBy(F.col("_day").asc_nulls_last())
+    by_day = per_day.withColumns({"_next": F.lead("_first").over(w), "_rn": F.row_number().over(w)})
+    again = ((F.col("_last") > F.col("_first")) | (F.col("_next") <= F.col("_first") + F.expr(f"INTERVAL {int(days)} DAYS"))
+             if days >= 1 else F.lit(False))
+    per_user = by_day.filter(F.col("_rn") == 1).select("feature", F.when(again, 1).otherwise(0).alias("retained"))
+    return (per_user.groupBy("feature").agg(
         F.count(F.lit(1)).alias("total_users"),
         F.sum("retained").cast("long").alias("retained_count"),
         F.bround(F.avg("retained") * 100, 2).alias("retention_rate_percentage"))
@@ -166,10 +169,14 @@ def upsell_targets(activity: DataFrame, as_of: str = "2024-01-31 00:00:00", days
 
 
 def upsell_company_details(targets: DataFrame, customers: DataFrame) -> DataFrame:
-    """Enrich the (at most ``n``) targets with company data; the target list
-    is bounded by ``n``, so it is the broadcast side."""
-    c = customers.select("customer_id", "company_name", "industry", "company_size", "country_name")
-    return c.join(F.broadcast(targets), "customer_id", "right")
+    """Enrich the (at most ``n``) targets with company data.  The broadcast list
+    of ids, bounded by ``n``, reduces the customers first, so they are not
+    shuffled; a target without a customer row keeps its place."""
+    details = ["company_name", "industry", "company_size", "country_name"]
+    c = (customers.select("customer_id", *details)
+         .join(F.broadcast(targets.select("customer_id")), "customer_id", "left_semi"))
+    rest = [x for x in targets.columns if x != "customer_id"]
+    return targets.join(c, "customer_id", "left").select("customer_id", *details, *rest)
 
 
 # ------------------------------------------------------------ Domain adapters

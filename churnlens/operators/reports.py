@@ -84,9 +84,7 @@ def ltv_rank(d: Domain) -> DataFrame:
     base = per_ct.join(cust, "customer_id").select(
         "customer_id", "company_name", "plan_tier",
         (F.col("value") * F.col("copies")).alias("lifetime_value"))
-    ranked = rank_desc(base, "plan_tier", "lifetime_value", "customer_rank")
-    tier = base.groupBy("plan_tier").agg(F.avg("lifetime_value").alias("tier_avg"))
-    j = ranked.join(tier, ranked["plan_tier"].eqNullSafe(tier["plan_tier"]), "left").drop(tier["plan_tier"])
+    j = rank_desc(base, "plan_tier", "lifetime_value", "customer_rank", mean="tier_avg")
     return j.select(
         "customer_id", "company_name", "plan_tier",
         F.col("lifetime_value").cast("double").alias("lifetime_value"),

@@ -79,10 +79,14 @@ def lag_by_key(df: DataFrame, key: str, order: list[Column | str], lag_cols: dic
 
 
 def rank_desc(df: DataFrame, group: str, value: str, out: str,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, mean: str | None = None) -> DataFrame:
     """``RANK() OVER (PARTITION BY group ORDER BY value DESC)`` (NULLS LAST)
     computed over range partitions, so a group with millions of rows is
-    ranked by many tasks."""
+    ranked by many tasks.  ``mean`` names a column for the group's mean, taken
+    from the same checkpointed rows.
+
+    For few, large groups (tiers): the tables of boundaries (at most P +
+    groups rows) and of means (a row a group) are broadcast."""
     p = _partitions(df, num_partitions)
     ranged = _range_split(df, p, F.col(group), F.col(value).desc_nulls_last())
     w = Window.partitionBy(group, _PID).orderBy(F.col(value).desc_nulls_last())
@@ -96,6 +100,9 @@ def rank_desc(df: DataFrame, group: str, value: str, out: str,
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     b = before.select(F.col(group).alias("_g"), F.col(_PID).alias("_p"), "_offset")
     cond = F.col(group).eqNullSafe(F.col("_g")) & (F.col(_PID) == F.col("_p"))
-    j = local.join(b, cond, "left").drop("_g", "_p")
+    j = local.join(F.broadcast(b), cond, "left").drop("_g", "_p")
+    if mean:
+        m = ranged.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias(mean))
+        j = j.join(F.broadcast(m), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     return (j.withColumn(out, (F.col("_local_rank") + F.coalesce(F.col("_offset"), F.lit(0))).cast("int"))
             .drop(_PID, "_local_rank", "_offset"))

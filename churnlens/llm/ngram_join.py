@@ -35,12 +35,14 @@ within one are not needed.
 
 Texts without words, null or empty, have an empty set and link with nothing.
 Rows with the same doc_id but other texts count as one document.  Rows with a null
-doc_id get the component of their class's others, or null.  An empty table gives
+doc_id link as any other, each as a document of its own under a free number; they get
+the smallest doc_id of their component, or null if it has none.  An empty table gives
 no rows; other columns are ignored by ``text_components`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -427,16 +429,31 @@ def cross_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, can).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 
 
+def number_nulls(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a doc_id, each under a number that no row of ``known`` has, written once."""
+    for seed in itertools.count():
+        # the hash of a long is one to one, so the numbers differ
+        named = materialise(docs.where("doc_id is null").select(F.xxhash64(F.monotonically_increasing_id() + F.lit(seed << 56)).alias("doc_id"), "text"), "nulls")
+        if not known.join(named, "doc_id", "left_semi").take(1):
+            return named
+
+
 def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id
     reachable by links, itself included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = materialise(describe(docs, n), "sets")
-    count = known.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    count = known.agg(F.count(F.lit(1)), F.sum("n_shingles"), F.count_if(F.col("doc_id").isNull() & F.col("d1").isNotNull())).first()
+    known = known.withColumn("id", F.col("doc_id"))
+    if count[2]:
+        named = number_nulls(docs, known)
+        docs = docs.where("doc_id is not null").union(named)
+        known = known.where("doc_id is not null").union(describe(named, n).withColumn("id", F.lit(None).cast("long")))
+        known = materialise(known, "sets")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, count[0], n))
     key = ["d1", "d2", "n_shingles"]
-    classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node")), "classes")
-    name = classes.where("node is not null").select("d1", "node")
+    classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node"), F.min("id").alias("id")), "classes")
+    name = classes.select("d1", "node")
     buckets = max(1, -(-int(count[1] or 0) // BUCKET_SHINGLES))
     found = candidates(docs, buckets, frequent, n)
     twins = name.groupBy("d1").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("u", "v")
@@ -467,9 +484,13 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         late = materialise(verify(materialise(possible(pairs, classes), "pairs"), texts, n), "links")
         if late.take(1):
             comp = materialise(components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "components")
-    out = classes.join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    return (known.where("d1 is not null").join(out, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-            .union(known.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    out = classes.join(comp, "node", "left").select(*key, "id", F.coalesce("component", "node").alias("component"))
+    if count[2]:  # a component may be named by a number given here: its smallest doc_id stands for it
+        least = out.groupBy("component").agg(F.min("id").alias("least"))
+        out = out.join(least, "component").withColumn("component", F.col("least"))
+    out = out.select(*key, "component")
+    return (known.where("d1 is not null").join(out, key, "left").select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+            .union(known.where("d1 is null").select("id", "n_shingles", F.col("id").alias("component_id"))))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

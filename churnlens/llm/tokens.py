@@ -5,7 +5,9 @@ pieces between single blanks.  A piece seen before comes from a dictionary.  A n
 one that is a word of Latin letters, with at most one mark after it, goes straight
 to the library's model, since its pre-tokenizer would leave it whole; any other
 piece goes through the whole library.  Both ways are compared when a tokenizer is
-loaded, and one that this does not hold for is used without short cuts.
+loaded, and one that this does not hold for is used without short cuts.  A text that
+holds the string of an added token (such as <|endoftext|>) goes through the library
+whole and gets that token's id, as by the library's default.
 """
 
 from __future__ import annotations
@@ -46,12 +48,15 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library, self.model, self.alphabet = t, t.model, _byte_letters()
+        added = t.get_added_tokens_decoder().values()
+        self.added = tuple(a.content for a in added)
         one = lambda s: t.encode(s, add_special_tokens=False).ids
         # whether pieces can be joined: without their blanks, with them, or not at all
         self.kind = ("dropped" if one("ab cd") == one("ab") + one("cd") and one("ab cd\nef") == one("ab") + one("cd") + one("ef")
                      else "kept" if one("ab cd\nef") == one("ab") + one(" cd") + one("\nef") else "whole")
+        if any(a.normalized for a in added):  # these match other spellings too
+            self.kind = "whole"
         self.short = False
         self.short = self.kind != "whole" and all(
             self._short(p) in (None, self.whole(self._spaced(p))) for w in _PROBES for p in (w, w + ".", "\n" + w))
@@ -101,6 +106,8 @@ class Pieces(dict):
         return ids
 
     def text(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.whole(text)
         if self.kind == "dropped":
             pieces = text.replace("\n", " ").split(" ")
             return b"".join(map(self.__getitem__, filter(None, pieces)))

@@ -14,14 +14,16 @@ Checks.  Arguments must be a JSON object whose fields have the types of the tool
 schema, with all required ones and, unless the schema says so, no others.
 
 status: ok, unanswered (no result), duplicate (different calls share an
-identifier; the smallest by name and arguments stands for them), missing (``after`` names no call),
+identifier; each has its rows, and calls that build on it build on the smallest by name
+and arguments), missing (``after`` names no call),
 cycle, unknown_tool, invalid_json, invalid_arguments; orphan for a result without a
 call.  The first that holds counts, in the order: orphan, duplicate, cycle,
 missing, unknown_tool, invalid_json, invalid_arguments, unanswered, ok.
 
 One row a call and result: conv_id, call_id, level, seq, status, line; line is
 canonical JSON: keys sorted, no blanks, nulls written.  Equal rows count once; a null
-call_id matches nothing and such a call or result is unanswered or orphan; null or
+call_id matches nothing and such a call or result is unanswered or orphan (an orphan
+without a call_id keeps its conv_id where ``results`` has one); null or
 empty arguments are invalid JSON; empty tables give no rows; other columns are ignored.
 """
 
@@ -74,21 +76,21 @@ def arguments_status(name: Column, arguments: Column, schemas: Schemas) -> Colum
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """Calls with their results, levels, status and canonical JSON."""
-    one = (calls.select("conv_id", "call_id", "after", "name", "arguments").distinct()
-           .withColumn("own", F.coalesce("call_id", F.concat_ws(":", F.lit("null"), "conv_id", "name", "arguments"))))
-    fields = F.struct("name", "arguments", "after", "conv_id", "call_id")
-    one = materialise(one.groupBy("own").agg(F.min(fields).alias("c"), F.count(F.lit(1)).alias("n")).select("c.*", "n"), "calls")
-    level = levels(one.where("call_id is not null").select("call_id", "after"))
-    known = one.select(F.col("call_id").alias("parent"))
-    one = one.join(known, F.col("after") == F.col("parent"), "left").join(level, "call_id", "left")
-    answers = results.select(F.col("call_id").alias("answers"), "seq", "content").distinct()
+    one = materialise(calls.select("conv_id", "call_id", "after", "name", "arguments").distinct(), "calls")
+    fields = F.struct("name", "arguments", "after", "conv_id")
+    heads = materialise(one.where("call_id is not null").groupBy("call_id").agg(F.min(fields)["after"].alias("after"), F.count(F.lit(1)).alias("n")), "heads")
+    parents = levels(heads.select("call_id", "after")).withColumnsRenamed({"call_id": "parent", "level": "above"})
+    one = one.join(heads.select("call_id", "n"), "call_id", "left").join(parents, F.col("after") == F.col("parent"), "left")
+    one = one.withColumn("level", F.when(F.col("parent").isNull(), 0).otherwise(F.col("above") + 1).cast("long"))
+    whose = F.col("conv_id") if "conv_id" in results.columns else F.lit(None)
+    answers = results.select(F.col("call_id").alias("answers"), "seq", "content", F.when(F.col("call_id").isNull(), whose).alias("whose")).distinct()
     both = one.withColumn("is_call", F.lit(True)).join(answers, F.col("call_id") == F.col("answers"), "full")
     wrong = arguments_status(F.col("name"), F.col("arguments"), schemas)
     status = (F.when(F.col("is_call").isNull(), "orphan").when(F.col("n") > 1, "duplicate")
-              .when(F.col("call_id").isNotNull() & F.col("level").isNull(), "cycle")
+              .when(F.col("level").isNull(), "cycle")
               .when(F.col("after").isNotNull() & F.col("parent").isNull(), "missing")
               .otherwise(F.coalesce(wrong, F.when(F.col("content").isNull(), "unanswered").otherwise("ok"))))
-    rows = both.select("conv_id", F.coalesce("call_id", "answers").alias("call_id"), F.coalesce("level", F.when(F.col("call_id").isNull() & F.col("is_call"), 0)).cast("long").alias("level"),
+    rows = both.select(F.coalesce("conv_id", "whose").alias("conv_id"), F.coalesce("call_id", "answers").alias("call_id"), "level",
                        "seq", status.alias("status"), "name", "after", "content", F.try_parse_json("arguments").alias("arguments"))
     line = F.to_json(F.struct("after", "arguments", "call_id", F.col("content"), "level", "name", "status"), {"ignoreNullFields": "false"})
     return rows.select("conv_id", "call_id", "level", "seq", "status", line.alias("line"))
@@ -97,16 +99,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (conv_id, turn, role, text): a user
     turn asks the tool ``answer``, building on the question two turns before; an
-    assistant turn is the result of the call of the turn before."""
+    assistant turn is the result of the call of the turn before.  Without a conv_id or
+    turn both have no identifier.  Turns of other roles are neither."""
     def name(back: int) -> Column:
-        return F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
 
-    asked = messages.where("role = 'user' and conv_id is not null and turn is not null")
+    asked = messages.where("role = 'user'")
     parent = asked.select(name(0).alias("parent")).distinct()
     calls = (asked.select("conv_id", name(0).alias("call_id"), name(2).alias("before"), F.lit("answer").alias("name"),
                           F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"}).alias("arguments"))
              .join(parent, F.col("before") == F.col("parent"), "left")
              .select("conv_id", "call_id", F.col("parent").alias("after"), "name", "arguments"))
-    results = messages.where("role = 'assistant' and conv_id is not null and turn is not null").select(
-        name(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    results = messages.where("role = 'assistant'").select(
+        "conv_id", name(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     return calls, results

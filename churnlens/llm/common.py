@@ -3,6 +3,7 @@ buffers, vectorised word hashes and distributed connected components."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -42,6 +43,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_nulls(rows: DataFrame, id_col: str, known: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``id_col`` is null, each under a number that ``known``
+    (the column ``id_col``) does not have, written once."""
+    for seed in itertools.count():
+        # the hash of a long is one to one, so the numbers differ
+        number = F.xxhash64(F.monotonically_increasing_id() + F.lit(seed << 56))
+        named = materialise(rows.where(F.col(id_col).isNull()).withColumn(id_col, number), "nulls")
+        if not known.join(named, id_col, "left_semi").take(1):
+            return named
+
+
 def free_name(columns, name: str) -> str:
     """``name``, with underscores until no column has it (whatever the case)."""
     taken = {c.lower() for c in columns}

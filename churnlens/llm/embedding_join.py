@@ -19,8 +19,9 @@ many tasks.  A tile returns counts and a spanning forest, never pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite parts link with
 nothing, nor do vectors of different lengths.  Rows with the same vec_id and
-different vectors do not count as each other's links.  A null vec_id stays null and
-counts as a link of others.  An empty table gives no rows; other columns are ignored.
+different vectors do not count as each other's links.  A null vec_id stays null; its
+row counts as a link of others, joins components and gets the smallest vec_id of its
+own, or null.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import components, materialise
+from churnlens.llm.common import components, materialise, number_nulls
 
 THRESHOLD = 0.9
 #: Most pivots, copies of a vector to other cells that are accepted on average, and sizes of a tile.
@@ -118,8 +119,11 @@ def vector_components(embeddings: DataFrame, threshold: float = THRESHOLD, id_co
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     all_rows = all_rows.withColumn("good", good)
-    classes = materialise(all_rows.where("good").groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
-                          .where("node is not null"), "vectors")
+    classes = materialise(all_rows.where("good").groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("id", F.col("node")), "vectors")
+    nulls = bool(classes.where("node is null").take(1))
+    if nulls:
+        named = number_nulls(classes, "node", all_rows.select(F.col("vec_id").alias("node")))
+        classes = classes.where("node is not null").union(named)
     sample = classes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(2 * PIVOTS).collect()  # bounded by the limit
     by: dict[int, list] = {}
     for row in sample:
@@ -168,7 +172,10 @@ def vector_components(embeddings: DataFrame, threshold: float = THRESHOLD, id_co
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")))
     of = classes.join(counts, "node", "left").join(comp, "node", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = all_rows.where("good").join(of, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "v", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    if nulls:  # a component may be named by a number given here: its smallest vec_id stands for it
+        least = of.groupBy("component_id").agg(F.min("id").alias("least"))
+        of = of.join(least, "component_id").withColumn("component_id", F.col("least"))
+    out = all_rows.where("good").join(of.drop("id"), "v", "left").select("vec_id", "n_links", "component_id")
     return (out.union(all_rows.where("not good").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))

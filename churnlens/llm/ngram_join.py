@@ -42,7 +42,6 @@ no rows; other columns are ignored by ``text_components`` and kept by ``keep_fir
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +57,7 @@ from churnlens.llm.common import (
     free_name,
     materialise,
     mix,
+    number_nulls,
     shingle_hashes,
     text_buffer,
     word_hashes,
@@ -429,15 +429,6 @@ def cross_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, can).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 
 
-def number_nulls(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a doc_id, each under a number that no row of ``known`` has, written once."""
-    for seed in itertools.count():
-        # the hash of a long is one to one, so the numbers differ
-        named = materialise(docs.where("doc_id is null").select(F.xxhash64(F.monotonically_increasing_id() + F.lit(seed << 56)).alias("doc_id"), "text"), "nulls")
-        if not known.join(named, "doc_id", "left_semi").take(1):
-            return named
-
-
 def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id
     reachable by links, itself included)."""
@@ -446,7 +437,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = known.agg(F.count(F.lit(1)), F.sum("n_shingles"), F.count_if(F.col("doc_id").isNull() & F.col("d1").isNotNull())).first()
     known = known.withColumn("id", F.col("doc_id"))
     if count[2]:
-        named = number_nulls(docs, known)
+        named = number_nulls(docs, "doc_id", known.select("doc_id"))
         docs = docs.where("doc_id is not null").union(named)
         known = known.where("doc_id is not null").union(describe(named, n).withColumn("id", F.lit(None).cast("long")))
         known = materialise(known, "sets")

@@ -87,9 +87,37 @@ SELECT conv_id, call_id, level, seq, status,
 FROM st
 """
 
+PHRASES = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score,
+    row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n), cut) AS place
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[cut + 1:], ' ')
+), inside AS (
+  SELECT lang, phrase, max(n) AS n FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a AS n FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT s.lang, s.phrase, a, l, r, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE place = 1 AND (i.n IS NULL OR 100 * i.n < 50 * a)
+), n AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT kept.lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op4_embedding_range_join": EMBEDDING,
     "op6_ngram_jaccard_join": NGRAM,
     "op10_tool_calls": TOOL_CALLS,
     "op9_suffix_decontamination": DECONTAMINATION,
+    "op11_phrase_collocations": PHRASES,
 }

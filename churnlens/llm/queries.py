@@ -14,6 +14,7 @@ from churnlens.llm import (
     hash_tree_sharding,
     license_scan,
     ngram_join,
+    phrase_mining,
     suffix_decontamination,
     token_records,
     tool_calls,
@@ -84,7 +85,11 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_tool_calls(*tool_calls.conversation_calls(table(spark, sf_dir, "conversations")), ANSWER)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, best=2000, share=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_hash_tree_sharding, op4_embedding_range_join, op5_wordpiece_counts,
                             op6_ngram_jaccard_join, op7_best_fit_packing, op8_token_records, op9_suffix_decontamination,
-                            op10_tool_calls)}
+                            op10_tool_calls, op11_phrase_collocations)}

@@ -94,7 +94,6 @@ def test_components(spark):
 def test_ids_as_the_library(name, docs001):
     path = public_tokenizers.path(name)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     texts = [x for x in odd_texts() if x] + ["\n", " ", " a", "a ", "A. B, c! İΣ don't x\ty", "ﬁ é", "\x85a　b"]
     texts += [r["text"] for r in docs001.limit(80).collect()]
     for x in texts:

@@ -44,7 +44,7 @@ U64 = np.uint64
 #: Bits of a word's number within a chunk; three numbers fill one key.
 WORD_BITS = 21
 #: N-grams counted together in a chunk, and bytes of text looked at together.
-CHUNK, BLOCK = 6_000_000, 4 << 20
+CHUNK, BLOCK = 2_000_000, 2 << 20
 #: Entries of a summary's row: batches of many rows stay small.
 SLICE = 1024
 #: Groups from which a language's best rows are drawn before they meet.

@@ -13,6 +13,7 @@ from churnlens.llm import (
     embedding_join,
     embedding_whitening,
     hash_tree_sharding,
+    html_extraction,
     license_scan,
     ngram_join,
     phrase_mining,
@@ -90,6 +91,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, best=2000, share=50)
 
 
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"), html_extraction.fit(html_extraction.labelled_pages(spark)))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
@@ -98,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_hash_tree_sharding, op4_embedding_range_join, op5_wordpiece_counts,
                             op6_ngram_jaccard_join, op7_best_fit_packing, op8_token_records, op9_suffix_decontamination,
                             op10_tool_calls, op11_phrase_collocations,
-                            op13_embedding_whitening)}
+                            op12_html_main_text, op13_embedding_whitening)}

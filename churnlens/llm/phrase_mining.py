@@ -46,7 +46,7 @@ WORD_BITS = 21
 #: N-grams counted together in a chunk, and bytes of text looked at together.
 CHUNK, BLOCK = 2_000_000, 2 << 20
 #: Entries of a summary's row: batches of many rows stay small.
-SLICE = 1024
+SLICE = 256
 #: Groups from which a language's best rows are drawn before they meet.
 SALTS = 64
 
@@ -146,7 +146,7 @@ class Chunk:
 
 def _chunks(batches, longest: int) -> Iterator[Chunk]:
     chunk = Chunk(longest)
-    for batch in batches:
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         data, offsets = text_buffer(batch.column("text"))
         lang = batch.column("lang").dictionary_encode()
         names, langs = lang.dictionary.to_pylist(), np.asarray(lang.indices)
@@ -186,7 +186,7 @@ def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return (hashes >> U64(16)).astype("<u4").tobytes() + hashes.astype("<u2").tobytes() + counts.astype("<u4").tobytes()
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(payload) -> tuple[np.ndarray, np.ndarray]:
     n = len(payload) // 10
     return ((np.frombuffer(payload, "<u4", n).astype(U64) << U64(16)) | np.frombuffer(payload, "<u2", n, 4 * n).astype(U64),
             np.frombuffer(payload, "<u4", n, 6 * n).astype(np.int64))
@@ -212,7 +212,7 @@ def summaries(partitions: int, longest: int):
                 i, j = int(ends[p]), int(ends[p + 1])
                 rows.append((p, int(counts[i:j].sum()), None))
                 rows += [(p, None, _pack(hashes[k:min(j, k + SLICE)], counts[k:min(j, k + SLICE)])) for k in range(i, j, SLICE)]
-                if len(rows) > 4000:
+                if len(rows) > 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             if rows:
@@ -279,17 +279,18 @@ def merged_bits(least: int, bits: int):
     def run(batches):
         part, mass, summary = None, 0, None
         for batch in batches:
-            for p, m, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "mass", "packed")), strict=True):
+            parts, masses, payloads = (batch.column(c) for c in ("part", "mass", "packed"))
+            for p, m, payload in zip(parts.to_pylist(), masses.to_pylist(), payloads, strict=True):
                 if p != part:
                     if summary is not None:
                         yield from finish(summary)
                     part, mass, summary = p, 0, None
-                if packed is None:
+                if not payload.is_valid:
                     mass += m
                 else:
                     if summary is None:
                         summary = MisraGries(mass, least)
-                    summary.merge(*_unpack(packed))
+                    summary.merge(*_unpack(payload.as_buffer()))
         if summary is not None:
             yield from finish(summary)
 

@@ -24,6 +24,11 @@ What is left goes to its bucket as packed arrays (8 bytes a cell), and the bucke
 reduces again.  So a tile of any size gives a tree of candidates, never all pairs,
 and a bucket gets no more than one entry of a tile from a block.
 
+Frequent shingles.  A table of 2^20 counters counts, over all sets, how many hold a shingle of
+each hash; shingles of counters above 1/256 of the documents, and four times the mean, are left
+out of cells where a set has enough others.  Any choice is right: what a set leaves out
+depends on the shingle alone, and sets with too few others fall back to all of theirs.
+
 Checks.  A candidate's two sets are compared by size and by parity bitmaps of about
 a bit a shingle (bits that differ bound the overlap from above); what passes is
 compared exactly, as sorted arrays.  After the first check, sets of one tile may still stand in different components.  In up to
@@ -31,10 +36,14 @@ compared exactly, as sorted arrays.  After the first check, sets of one tile may
 against one of another, drawn anew, which joins near copies without pairing them.
 What then still stands apart within a tile is paired exhaustively, as far as sizes
 and bitmaps allow, and checked.  So no link between components is missed, and pairs
-within one are not needed.
+within one are not needed.  Before that each set gives up its largest tiles: of the cells of a
+set at most d = (a + b) / 9 are not its partner's, so the first common tile in
+the order (one component only, size, tile) is among the first d + 1 of both, and the others
+need not list the pair again.  Passages that many texts share make the large tiles, and texts with
+enough of their own leave all of those.
 
 Texts without words, null or empty, have an empty set and link with nothing.
-Rows with the same doc_id but other texts count as one document.  Rows with a null
+Rows with the same doc_id but other texts count as one document: what links with one links with all.  Rows with a null
 doc_id link as any other, each as a document of its own under a free number; they get
 the smallest doc_id of their component, or null if it has none.  An empty table gives
 no rows; other columns are ignored by ``text_components`` and kept by ``keep_first``.
@@ -46,7 +55,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import (
@@ -72,8 +81,10 @@ PART_BYTES, CELLS, BUCKET_SHINGLES = 4 << 20, 3_000_000, 4_000_000
 SALT = 2000
 #: Rounds that join components of a tile by single members before pairs are listed (each costs some jobs).
 ROUNDS = 1
-#: Documents of the sample for frequent shingles, how many must have one, and most of these.
-SAMPLE, FREQUENT, MOST = 4096, 3, 200_000
+#: Counters for frequent shingles, as a power of two, and the share of the documents that a frequent one is in.
+COUNTERS, SHARE = 20, 256
+#: Rows of a batch taken together, so that places of nodes (and of a node's five groups of cells) fit 16 bits.
+ROWS = 12_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -114,10 +125,11 @@ def cells_of(band: np.ndarray) -> np.ndarray:
 
 def _filled(h: np.ndarray, offsets: np.ndarray, size: np.ndarray, on: np.ndarray, space: int):
     """Hashes of the filled cells of the sets ``on``, over the hashes ``h`` of sets of
-    ``size``; their sets; and the sets that have too few for a linked one to be sure to share one."""
+    ``size``, their sets and how many cells each set may give up, for its own band's tiles and
+    for those of the band below; and the sets that have too few for a linked one to be sure to share one."""
     n = np.diff(offsets)
     band = band_of(np.maximum(size, 1))
-    found, sets, weak = [], [], np.zeros(len(n), dtype=bool)
+    found, sets, spare, weak = [], [], [], np.zeros(len(n), dtype=bool)
     place, value = mix(h ^ _C), mix(h ^ _A)
     for upper in (False, True):
         tile = band - upper
@@ -139,49 +151,64 @@ def _filled(h: np.ndarray, offsets: np.ndarray, size: np.ndarray, on: np.ndarray
         found.append(mix(total[at] + (at - base[of]).astype(np.uint64) * _B + (tile[of].astype(np.uint64) + U64(1 + space)) * _C))
         sets.append(of)
         partner = np.minimum(size, top) if upper else size * DEN // NUM
-        weak |= part & (np.bincount(of, minlength=len(n)) <= (size + partner) // 9)
-    return found, sets, weak
+        more = np.bincount(of, minlength=len(n)) - (size + partner) // 9
+        weak |= part & (more <= 0)
+        spare.append(np.where(part, np.maximum(more - 1, 0), 0))
+    return found, sets, spare, weak
 
 
-def cell_hashes(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the filled cells of each set, and their sets: without ``frequent``
-    shingles (sorted); of all shingles where those are too few; of the smallest
-    where these are too few as well."""
+def cell_hashes(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the filled cells of each set, their sets, their groups (0 to 4) and how many
+    cells of each group a set may give up (sets x 5): without ``frequent`` shingles (flags
+    by counter); of all shingles where those are too few; of the smallest where these are too few as well."""
     size = np.diff(offsets)
     every = np.ones(len(size), dtype=bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, h)
-        at[at == len(frequent)] = 0
-        rare = frequent[at] != h
-        left = np.concatenate(([0], np.cumsum(rare)))[offsets]
-        found, sets, weak = _filled(h[rare], left, size, every, 0)
-    else:
-        found, sets, weak = [], [], every
+    rare = ~frequent[counter_of(h)]
+    left = np.concatenate(([0], np.cumsum(rare)))[offsets]
+    found, sets, spare, weak = _filled(h[rare], left, size, every, 0)
+    group = [0, 1]
     if weak.any():
-        more, of, weak = _filled(h, offsets, size, weak, 64)
-        found, sets = found + more, sets + of
+        more, of, also, weak = _filled(h, offsets, size, weak, 64)
+        found, sets, spare, group = found + more, sets + of, spare + also, group + [2, 3]
     for s in np.flatnonzero(weak).tolist():
         # sets are sorted by hash: the prefix is their first hashes
         found.append(mix(h[offsets[s]:offsets[s] + size[s] - -(-size[s] * NUM // DEN) + 1] ^ _WEAK))
         sets.append(np.full(len(found[-1]), s))
-    return np.concatenate(found), np.concatenate(sets)
+        group.append(4)
+    groups = np.repeat(np.array(group), [len(f) for f in found])
+    slack = np.zeros((len(size), 5), dtype=np.int64)
+    slack[:, :len(spare)] = np.stack(spare, 1)
+    return np.concatenate(found), np.concatenate(sets), groups, slack
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - COUNTERS)).astype(np.int64)
 
 
 def frequent_shingles(docs: DataFrame, total: int, n: int = N) -> np.ndarray:
-    """Shingles that at least ``FREQUENT`` of about ``SAMPLE`` documents have, at most
-    ``MOST`` of them: sorted hashes."""
-    if not total:
-        return np.zeros(0, np.uint64)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, SAMPLE / total))))
+    """Flags of the counters (2^``COUNTERS``) that more than one in ``SHARE`` of the ``total`` documents
+    meet, and four times the mean.  Each task sends its counters once, in slices that are summed."""
+    slice_of = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTERS, dtype=np.int64)
         for b in batches:
             for _, h, _ in text_sets(b.column(1), n):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+                counts += np.bincount(counter_of(h), minlength=1 << COUNTERS)
+        for k in np.flatnonzero(counts.reshape(-1, slice_of).any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts[k * slice_of:(k + 1) * slice_of].astype("<u4").tobytes()])], names=["k", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        counts = np.zeros(slice_of, dtype=np.int64)
+        for c in table.column("counts"):
+            counts += np.frombuffer(c.as_buffer(), "<u4")
+        return pa.table({"k": table.column("k")[:1], "counts": pa.array([counts.tobytes()])})
 
-    rows = (some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
-            .orderBy(F.col("c").desc(), "h").limit(MOST).select("h").toPandas())
-    return np.sort(rows["h"].to_numpy(dtype=np.int64).view(np.uint64))
+    rows = docs.mapInArrow(run, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect()
+    counts = np.zeros((1 << COUNTERS >> 14, slice_of), dtype=np.int64)
+    for r in rows:
+        counts[r["k"]] = np.frombuffer(r["counts"], np.int64)
+    return (counts > max(total / SHARE, 4 * counts.mean())).ravel()
 
 
 def _trees(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,12 +286,12 @@ def candidates(docs: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         cells = rows = 0
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             for _, h, offsets in text_sets(b.column(1), n):
-                tile, of = cell_hashes(h, offsets, frequent.value)
+                tile, of, _, _ = cell_hashes(h, offsets, frequent.value)
                 held.append((tile, digests(h, offsets)[0].view(np.int64)[of]))
                 cells, rows = cells + len(tile), rows + len(offsets)
-                if cells >= CELLS or rows >= 40_000:  # a block has fewer rows than a batch, so places fit 16 bits
+                if cells >= CELLS or rows >= 4 * ROWS:  # with the next block, places still fit 16 bits
                     yield _pack(*map(np.concatenate, zip(*held, strict=True)), buckets)
                     held, cells, rows = [], 0, 0
         if cells:
@@ -363,44 +390,55 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
+_MIXED = pa.schema([("bucket", pa.int32()), ("tiles", pa.binary()), ("places", pa.binary()), ("members", pa.binary())])
+
+
 def mixed_tiles(texts: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
     """Members (tile, doc_id) of the tiles of texts (doc_id, component, text) that hold
-    several components.  Cells travel packed, 8 bytes each, as in ``candidates``."""
+    several components, but for the largest tiles that a set can give up.  Cells travel
+    packed, 8 bytes each, as in ``candidates``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             node, comp = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 1))
             for i, h, offsets in text_sets(b.column(2), n):
-                tile, of = cell_hashes(h, offsets, frequent.value)
+                tile, of, group, slack = cell_hashes(h, offsets, frequent.value)
                 bucket = ((tile >> U64(48)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                tile, of = tile[order], of[order] + i
+                digest = digests(h, offsets)[0].view(np.int64)
+                tile, member = tile[order], (of * 5 + group)[order]
                 at, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
                 for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                    who, places = np.unique(of[at[k]:at[k + 1]], return_inverse=True)
+                    who, places = np.unique(member[at[k]:at[k + 1]], return_inverse=True)
                     low = np.ascontiguousarray(tile[at[k]:at[k + 1]]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((k, low.tobytes(), places.astype(np.uint16).tobytes(), node[who].tobytes(), comp[who].tobytes()))
+                    about = np.stack((node[who // 5 + i], comp[who // 5 + i], who % 5, slack[who // 5, who % 5], digest[who // 5]), 1)
+                    rows.append((k, low.tobytes(), places.astype(np.uint16).tobytes(), about.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MIXED, strict=True)], schema=_MIXED)
 
     def meet(table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], []]
+        tiles, about = [], []
         for r in range(table.num_rows):
-            t, p, m, c = (table.column(x)[r].as_py() for x in ("tiles", "places", "nodes", "edges"))
+            t, p, m = (table.column(x)[r].as_py() for x in ("tiles", "places", "members"))
             low = np.zeros((len(t) // 6, 8), dtype=np.uint8)
             low[:, :6] = np.frombuffer(t, dtype=np.uint8).reshape(-1, 6)
-            places = np.frombuffer(p, dtype=np.uint16)
-            for x, y in zip(parts, (low.view(np.int64)[:, 0], np.frombuffer(m, np.int64)[places], np.frombuffer(c, np.int64)[places]), strict=True):
-                x.append(y)
-        tile, node, comp = map(np.concatenate, parts)
+            tiles.append(low.view(np.int64)[:, 0])
+            about.append(np.frombuffer(m, np.int64).reshape(-1, 5)[np.frombuffer(p, dtype=np.uint16)])
+        tile, about = np.concatenate(tiles), np.concatenate(about)
         order = np.argsort(tile)
-        tile, node, comp = tile[order], node[order], comp[order]
+        tile, about = tile[order], about[order]
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        mixed = np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first)
-        keep = np.repeat(mixed, np.diff(np.append(first, len(tile))))
+        mixed = np.minimum.reduceat(about[:, 1], first) < np.maximum.reduceat(about[:, 1], first)
+        size = np.diff(np.append(first, len(tile)))
+        keep = np.repeat(mixed, size)
         # low halves of tiles are unique within a bucket: the bucket goes on top
-        return pa.table({"tile": tile[keep] | np.int64(table.column("bucket")[0].as_py()) << 48, "doc_id": node[keep]})
+        return pa.table({"tile": tile[keep] | np.int64(table.column("bucket")[0].as_py()) << 48, "doc_id": about[keep, 0], "group": about[keep, 2],
+                         "slack": about[keep, 3], "set": about[keep, 4], "size": np.repeat(size, size)[keep]})
 
-    return texts.mapInArrow(run, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "tile long, doc_id long")
+    members = (texts.mapInArrow(run, "bucket int, tiles binary, places binary, members binary").groupBy("bucket")
+               .applyInArrow(meet, "tile long, doc_id long, group long, slack long, set long, size long"))
+    # a set's own cells: no more than its shingles
+    place = F.row_number().over(Window.partitionBy("doc_id", "set", "group").orderBy(F.col("size").desc(), F.col("tile").desc()))
+    return members.withColumn("place", place).where(F.col("place") > F.col("slack")).select("tile", "doc_id").distinct()
 
 
 def member_pairs(rows: DataFrame, r: int) -> DataFrame:
@@ -454,7 +492,13 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").union(twins).distinct(), "candidates")
     nodes = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
     texts = materialise(docs.join(nodes, "doc_id", "left_semi"), "texts")
-    near = materialise(verify(possible(edges, classes), texts, n), "links")
+    near = verify(possible(edges, classes), texts, n)
+    twice = (known.where("d1 is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+             .where("lo <> hi").select("doc_id"))
+    if twice.take(1):  # an id of several classes joins them
+        own = known.where("d1 is not null").join(twice, "doc_id", "left_semi").join(classes.select(*key, "node"), key)
+        near = near.union(own.select(F.col("doc_id").alias("u"), F.col("node").alias("v")).where("u <> v").distinct())
+    near = materialise(near, "links")
     comp = materialise(components(near), "components")
 
     # candidates that failed and still stand apart: their components meet in tiles

@@ -350,12 +350,47 @@ def test_cells_miss_no_linked_pair():
         if len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
             both = np.concatenate((a, b))
             for share in (0, .1, .5, 1):  # whichever shingles count as frequent
-                frequent = np.unique(both[rng.random(len(both)) < share])
-                tile, of = ngram_join.cell_hashes(both, np.array([0, len(a), len(a) + len(b)]), frequent)
+                frequent = np.zeros(1 << ngram_join.COUNTERS, dtype=bool)
+                frequent[ngram_join.counter_of(both[rng.random(len(both)) < share])] = True
+                tile, of, group, slack = ngram_join.cell_hashes(both, np.array([0, len(a), len(a) + len(b)]), frequent)
                 assert set(tile[of == 0].tolist()) & set(tile[of == 1].tolist())
+                # in any order of tiles, each set may give up its last ones
+                order = tile % np.uint64(1 + rng.integers(1, 1 << 20))
+                kept = []
+                for k in (0, 1):
+                    left = set()
+                    for g in range(5):
+                        own = sorted(set(zip(order[(of == k) & (group == g)].tolist(), tile[(of == k) & (group == g)].tolist(), strict=True)))
+                        left |= {t for _, t in own[:len(own) - int(slack[k, g])]}
+                    kept.append(left)
+                assert kept[0] & kept[1]
             assert ngram_join.linked(a, b)
 
 
+def test_ngram_repeated_ids(spark):
+    """Rows of one doc_id are one document, whatever their texts."""
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(1, 0), (2, 0), (2, 1), (3, 1), (4, 2), (5, 3), (5, 3), (6, 4), (5, 4), (7, 3)]
+    df = spark.createDataFrame([(i, text[t]) for i, t in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.text_components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 5)}
+
+
+def test_ngram_many_short_rows_in_a_batch(spark):
+    """More rows in a batch than places of 16 bits can name."""
+    n = 80_000
+    df = spark.range(0, 2 * n, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(c), F.floor(F.col("id") / 2).cast("string")) for c in "abcdefghijk"],
+                                                  F.when(F.col("id") % 2 == 1, "and")).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200_000)
+    try:
+        out = ngram_join.text_components(df)
+        assert out.where("component_id <> doc_id - doc_id % 2").count() == 0 and out.count() == 2 * n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_ngram_odd(odd, none):
     rows = [(i, t) for i, t in enumerate(odd_texts())]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.text_components(odd).collect()}

@@ -137,12 +137,12 @@ def onboarding_funnel(activity: DataFrame, steps: list[str] | None = None, neste
 
 
 # --------------------------------------------------------------------- Q17/Q18
-def upsell_targets(activity: DataFrame, as_of: str = "2024-01-31 00:00:00", days: int = 90,
+def upsell_targets(activity: DataFrame, as_of=None, days: int = 90,
                    n: int = 20) -> DataFrame:
     """Top ``n`` free-tier customers of the last ``days`` days by the weighted
     engagement score (as coded: sessions/10, duration/600, diversity/20,
-    recency (days - d)/days; T31, T32), with a priority label."""
-    as_of_ts = F.lit(as_of).cast("timestamp_ntz")
+    recency (days - d)/days; T31, T32), with a priority label.  ``as_of`` is now by default."""
+    as_of_ts = F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     a = with_ts(activity).filter(
         (F.col("subscription_tier") == "free")
         & (F.col("_ts") >= as_of_ts - F.expr(f"INTERVAL {int(days)} DAYS")))
@@ -204,9 +204,13 @@ def q_onboarding_funnel(d: Domain):
     return onboarding_funnel(d.activity(), BOUND_STEPS)
 
 
+#: "Now" of the given events, whose last are of January 2024.
+FIXTURE_NOW = "2024-01-31 00:00:00"
+
+
 def q_upsell(d: Domain):
-    return upsell_targets(d.activity())
+    return upsell_targets(d.activity(), FIXTURE_NOW)
 
 
 def q_upsell_details(d: Domain):
-    return upsell_company_details(upsell_targets(d.activity()), d.customers())
+    return upsell_company_details(upsell_targets(d.activity(), FIXTURE_NOW), d.customers())

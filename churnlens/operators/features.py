@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators import quality
-from churnlens.plans.quantiles import quantile_values
+from churnlens.plans.joins import hot_left_join, is_small
+from churnlens.plans.quantiles import multi_quantiles
 from churnlens.plans.session import ensure_checkpoint_dir
 from churnlens.sources.bindings import Domain
 
@@ -37,41 +38,53 @@ class Cleaned:
         self.subscriptions = quality.clean_subscriptions(d.subscriptions())
         self.customers = quality.clean_customers(d.customers())
         self.plans = quality.clean_plans(d.plans())
+        self._few: bool | None = None
 
+    def few(self, plans: DataFrame) -> DataFrame:
+        """The plans, marked for broadcast where they are few (looked up once)."""
+        if self._few is None:
+            self._few = is_small(self.plans)
+        return F.broadcast(plans) if self._few else plans
 
-def _prefix_clashes(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+
+def _prefix_clashes(left: list[str], right: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """Rename right-side non-key columns that already exist on the left
     (pandas would suffix them ``_x``/``_y``; T14)."""
-    clash = [c for c in right.columns if c in left.columns and c not in keys]
+    clash = [c for c in right.columns if c in left and c not in keys]
     for c in clash:
         right = right.withColumnRenamed(c, f"{prefix}_{c}")
     return right
 
 
 def subs_with_plans(c: Cleaned) -> DataFrame:
-    """Subscriptions left-joined to the (5-row, broadcast) plans with a
-    null-safe key, as a pandas merge matches missing keys (T15)."""
-    plans = _prefix_clashes(c.subscriptions, c.plans, ["plan_id"], "plans").withColumnRenamed("plan_id", "_plan_id")
-    j = c.subscriptions.join(F.broadcast(plans), c.subscriptions["plan_id"].eqNullSafe(plans["_plan_id"]), "left")
+    """Subscriptions left-joined to the plans with a null-safe key, as a pandas
+    merge matches missing keys (T15)."""
+    plans = _prefix_clashes(c.subscriptions.columns, c.plans, ["plan_id"], "plans").withColumnRenamed("plan_id", "_plan_id")
+    j = c.subscriptions.join(c.few(plans), c.subscriptions["plan_id"].eqNullSafe(plans["_plan_id"]), "left")
     return j.drop("_plan_id")
 
 
+def _merge(c: Cleaned, a: DataFrame, s: DataFrame, cu: DataFrame, p: DataFrame) -> DataFrame:
+    """The merge of the given sides; a customer with very many records is split over
+    tasks (``plans.joins``)."""
+    s = _prefix_clashes(a.columns, s, ["customer_id"], "subscriptions")
+    cu = _prefix_clashes(a.columns + s.columns, cu, ["customer_id"], "customers")
+    j = hot_left_join(a, [s, cu], "customer_id")
+    p = _prefix_clashes(j.columns, p, ["plan_id"], "plans").withColumnRenamed("plan_id", "_plan_id")
+    return j.join(c.few(p), j["plan_id"].eqNullSafe(p["_plan_id"]), "left").drop("_plan_id")
+
+
 def activity_enriched(c: Cleaned) -> DataFrame:
     """activity LEFT JOIN subscriptions LEFT JOIN customers LEFT JOIN plans,
     one row per (record, subscription) pair (Q31)."""
-    a = c.activity
-    s = _prefix_clashes(a, c.subscriptions, ["customer_id"], "subscriptions")
-    j = a.join(s, "customer_id", "left")
-    cu = _prefix_clashes(j, c.customers, ["customer_id"], "customers")
-    j = j.join(cu, "customer_id", "left")
-    p = _prefix_clashes(j, c.plans, ["plan_id"], "plans").withColumnRenamed("plan_id", "_plan_id")
-    j = j.join(F.broadcast(p), j["plan_id"].eqNullSafe(p["_plan_id"]), "left").drop("_plan_id")
-    return j
+    return _merge(c, c.activity, c.subscriptions, c.customers, c.plans)
 
 
 def dedupe_rows(c: Cleaned) -> DataFrame:
-    """Exact duplicate rows of the merge removed (Q34)."""
-    return activity_enriched(c).dropDuplicates()
+    """Exact duplicate rows of the merge removed (Q34).  The merge keeps every column of
+    its sides, so its rows are distinct where theirs are: the sides lose
+    their duplicates before anything is multiplied."""
+    return _merge(c, c.activity.dropDuplicates(), c.subscriptions.dropDuplicates(), c.customers.dropDuplicates(), c.plans.dropDuplicates())
 
 
 def calendar_features(c: Cleaned) -> DataFrame:
@@ -118,6 +131,8 @@ def engagement_score(c: Cleaned, eng: DataFrame | None = None) -> DataFrame:
     """Min-max scaled total_session, total_events, avg_nps (with the 1e-9
     guard, T39) and their mean as ``engagement_score`` (assumption A1)."""
     eng = eng if eng is not None else engagement_by_customer(c)
+    # one row a customer, read for the bounds and again for the score
+    eng = materialise(eng)
     cols = ["total_session", "total_events", "avg_nps"]
     mm = eng.agg(*[F.min(x).alias(f"mn_{x}") for x in cols], *[F.max(x).alias(f"mx_{x}") for x in cols]).first()
     norms = {}
@@ -160,14 +175,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def winsorized_features(features: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Clip each feature to its exact ``lo``/``hi`` quantiles (Q39)."""
+    """Clip each feature to its exact ``lo``/``hi`` quantiles (Q39), all
+    bounds selected together."""
     cols = {}
+    q = multi_quantiles(features, {f"{end}_{x}": (x, p) for x in FEATURES for end, p in (("lo", lo), ("hi", hi))})
     for x in FEATURES:
-        q = quantile_values(features, x, {"lo": lo, "hi": hi})
-        if q["lo"] is None:
+        if q[f"lo_{x}"] is None:
             cols[x] = F.col(x)
             continue
-        clipped = F.greatest(F.lit(q["lo"]), F.least(F.col(x), F.lit(q["hi"])))
+        clipped = F.greatest(F.lit(q[f"lo_{x}"]), F.least(F.col(x), F.lit(q[f"hi_{x}"])))
         cols[x] = F.when(F.col(x).isNotNull(), clipped).cast("double")
     return features.withColumns(cols)
 

@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.operators.features import Cleaned, engagement_score
+from churnlens.operators.features import Cleaned, engagement_score, materialise
 from churnlens.plans.quantiles import quantile_values
-from churnlens.sources.bindings import PLAN_ROWS, Domain
+from churnlens.sources.bindings import Domain
 
 CONVERSION_SHARE = 0.10   # share of engaged free customers assumed to convert
 ENGAGED = 0.6             # engagement score above which a free customer is engaged
@@ -27,7 +27,7 @@ def _rate(part, whole):
 
 
 def _subs_plans(d: Domain) -> DataFrame:
-    return d.subscriptions().join(F.broadcast(d.plans()), "plan_id", "left")
+    return d.subscriptions().join(d.few_plans(), "plan_id", "left")
 
 
 def _per_customer_trial(d: Domain) -> DataFrame:
@@ -133,7 +133,7 @@ def nps_by_plan(d: Domain) -> DataFrame:
 def churn_by_engagement_band(d: Domain) -> DataFrame:
     """K9: customers cut into low/mid/high engagement at the exact 1/3 and
     2/3 quantiles of the score; churned customers / customers per band."""
-    sc = engagement_score(Cleaned(d)).select("customer_id", "engagement_score")
+    sc = materialise(engagement_score(Cleaned(d)).select("customer_id", "engagement_score"))
     q = quantile_values(sc, "engagement_score", {"t1": 1 / 3, "t2": 2 / 3})
     band = (F.when(F.col("engagement_score") <= F.lit(q["t1"]), "low")
             .when(F.col("engagement_score") <= F.lit(q["t2"]), "mid")
@@ -153,12 +153,9 @@ def revenue_opportunity(d: Domain) -> DataFrame:
     free = latest.filter(F.col("tier") == "free")
     sc = engagement_score(Cleaned(d)).select("customer_id", "engagement_score")
     j = free.join(sc, "customer_id", "left")
-    price = float({r[0]: r[3] for r in PLAN_ROWS}[UPSELL_PLAN])
+    price = d.plans().where(F.col("plan_id") == UPSELL_PLAN).agg(F.max("monthly_price_usd").cast("double")).first()[0] or 0.0
     g = j.agg(F.count(F.lit(1)).alias("free_customers"),
               F.coalesce(F.sum((F.col("engagement_score") > ENGAGED).cast("long")), F.lit(0)).alias("engaged_free_customers"))
     return g.select("*", _rate("engaged_free_customers", "free_customers").alias("engaged_share"),
                     F.round(F.col("engaged_free_customers") * CONVERSION_SHARE * price, 2).alias("potential_mrr"))
 
-
-def q_engagement_band(d: Domain):
-    return churn_by_engagement_band(d)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import month_text, safe_div
-from churnlens.plans.windows import lag_by_key, rank_desc
+from churnlens.plans.windows import lag_by_key, rank_desc, running_sum_by_key
 from churnlens.sources.bindings import Domain
 
 ALERT = "ALERT ⚠️"
@@ -20,8 +20,7 @@ NORMAL = "NORMAL ✅"
 
 
 def _plans(d: Domain) -> DataFrame:
-    # literal 5-row dimension: size bound is known, so it is broadcast
-    return F.broadcast(d.plans())
+    return d.few_plans()
 
 
 def subs_with_plans(d: Domain) -> DataFrame:
@@ -134,26 +133,37 @@ def downgrades_all(d: Domain) -> DataFrame:
 _GROUP = ["customer_id", "company_name", "previous_plan", "previous_tier", "current_plan", "current_tier"]
 
 
-def downgrade_risk(d: Domain, as_of: str = "2001-08-01", window_days: int = 90, ticket_days: int = 30,
+def downgrade_risk(d: Domain, as_of=None, window_days: int = 90, ticket_days: int = 30,
                    min_tickets: int = 3, until_downgrade: bool = False) -> DataFrame:
-    """Customers whose tier fell within ``window_days`` before ``as_of`` with
+    """Customers whose tier fell within ``window_days`` before ``as_of`` (default: today) with
     more than ``min_tickets`` tickets since ``ticket_days`` before the change
-    (no upper bound unless ``until_downgrade``, T10; strictly more, T11)."""
-    since = F.lit(as_of).cast("date") - F.expr(f"INTERVAL {int(window_days)} DAYS")
+    (no upper bound unless ``until_downgrade``, T10; strictly more, T11).
+
+    Tickets and falls are one stream, per customer from the latest instant to the earliest;
+    the tickets counted when a fall's bound is reached are those since it.  The
+    running count is split by range (``plans.windows``), so neither a customer's falls nor
+    their tickets meet in one task, and no pair of them is ever formed."""
+    day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    since = day - F.expr(f"INTERVAL {int(window_days)} DAYS")
     dg = (tier_history(d)
           .filter(F.col("start_date") >= since.cast("timestamp_ntz"))
           .filter(is_downgrade()))
     cust = d.customers().select("customer_id", "company_name")
     dgc = dg.join(cust, "customer_id")
-    # tickets reduced to (customer, instant) counts before the join
-    tk = d.support_tickets().groupBy("customer_id", "created_at").agg(F.count("ticket_id").alias("n_tickets"))
-    cond = ((dgc["customer_id"] == tk["customer_id"])
-            & (tk["created_at"] >= dgc["start_date"] - F.expr(f"INTERVAL {int(ticket_days)} DAYS")))
+    # tickets reduced to (customer, instant) counts first
+    tickets = (d.support_tickets().where("customer_id is not null and created_at is not null").groupBy("customer_id", "created_at")
+               .agg(F.count("ticket_id").alias("n")).select("customer_id", F.col("created_at").alias("at"), "n", F.lit(0).alias("sign"), F.lit(None).alias("fall")))
+    bounds = [F.struct((F.col("start_date") - F.expr(f"INTERVAL {int(ticket_days)} DAYS")).alias("at"), F.lit(1).alias("sign"))]
     if until_downgrade:
-        cond = cond & (tk["created_at"] < dgc["start_date"])
-    j = dgc.join(tk, cond).drop(tk["customer_id"])
-    out = j.groupBy(*_GROUP).agg(F.sum("n_tickets").cast("long").alias("tickets_before_downgrade"))
-    return out.filter(F.col("tickets_before_downgrade") > min_tickets)
+        bounds.append(F.struct(F.col("start_date").alias("at"), F.lit(-1).alias("sign")))
+    falls = (dgc.select("customer_id", F.struct(*_GROUP[1:]).alias("fall"), F.explode(F.array(*bounds)).alias("b"))
+             .select("customer_id", F.col("b.at").alias("at"), F.lit(0).cast("long").alias("n"), F.col("b.sign").alias("sign"), "fall"))
+    stream = tickets.withColumn("fall", F.col("fall").cast(falls.schema["fall"].dataType)).unionByName(falls)
+    # at one instant tickets come first: the bound counts them
+    counted = running_sum_by_key(stream, "customer_id", [F.col("at").desc(), F.abs(F.col("sign"))], "n", "since").where("sign <> 0")
+    out = (counted.select("customer_id", "fall.*", (F.col("since") * F.col("sign")).alias("_n"))
+           .groupBy(*_GROUP).agg(F.sum("_n").cast("long").alias("tickets_before_downgrade")))
+    return out.filter((F.col("tickets_before_downgrade") > min_tickets) & (F.col("tickets_before_downgrade") > 0))
 
 
 def downgrade_ticket_counts(d: Domain, min_tickets: int = 3) -> DataFrame:
@@ -233,3 +243,12 @@ def duplicate_accounts(d: Domain, accounts: DataFrame | None = None, members: Da
     shared = F.col("_tm2") if shared_only else F.col("_tm1")
     return j.filter(keep).select("customer_1", "company_name_1", "customer_2", "company_name_2",
                                  "email_1", "email_2", shared.alias("shared_team_member"))
+
+
+# ------------------------------------------------------------ Domain adapters
+#: "Today" of the given orders, whose last are of 2001.
+FIXTURE_TODAY = "2001-08-01"
+
+
+def q_downgrade_risk(d: Domain):
+    return downgrade_risk(d, FIXTURE_TODAY)

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 CTES: dict[str, str] = {
     "plans": """
-SELECT * FROM (VALUES
+SELECT k.plan_id, coalesce(t.plan_name, k.plan_id) AS plan_name, coalesce(t.plan_tier, 'free') AS plan_tier,
+       coalesce(t.monthly_price_usd, CAST(0.00 AS DECIMAL(18,2))) AS monthly_price_usd, t.max_users, t.max_projects
+FROM (SELECT DISTINCT o_orderpriority AS plan_id FROM orders WHERE o_orderpriority IS NOT NULL) k LEFT JOIN (VALUES
   ('1-URGENT', 'Enterprise Custom', 'enterprise', CAST(499.00 AS DECIMAL(18,2)), CAST(NULL AS INTEGER), 100),
   ('2-HIGH', 'Professional', 'professional', CAST(199.00 AS DECIMAL(18,2)), 50, 50),
   ('3-MEDIUM', 'Starter Plus', 'starter', CAST(79.00 AS DECIMAL(18,2)), 20, 20),
   ('4-NOT SPECIFIED', 'Starter', 'starter', CAST(49.00 AS DECIMAL(18,2)), 10, 10),
   ('5-LOW', 'Free', 'free', CAST(0.00 AS DECIMAL(18,2)), 3, 1)
-) AS t(plan_id, plan_name, plan_tier, monthly_price_usd, max_users, max_projects)""",
+) AS t(plan_id, plan_name, plan_tier, monthly_price_usd, max_users, max_projects) ON t.plan_id = k.plan_id""",
     "subscriptions": """
 SELECT o_orderkey AS subscription_id,
        o_custkey AS customer_id,
@@ -64,10 +66,10 @@ SELECT c.c_custkey AS customer_id,
        NOT (c.c_acctbal < 0) AS is_active
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "accounts": """
-SELECT s_suppkey AS customer_id,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'Acme N ' ELSE 'ACMEN' END || CAST(s_suppkey // 4 AS VARCHAR) AS company_name,
-       'ops@d' || CAST(s_suppkey // 3 AS VARCHAR) || '.com' AS contact_email
-FROM supplier""",
+SELECT c_custkey AS customer_id,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Acme N ' ELSE 'ACMEN' END || CAST(c_custkey // 4 AS VARCHAR) AS company_name,
+       'ops@d' || CAST(c_custkey // 3 AS VARCHAR) || '.com' AS contact_email
+FROM customer""",
     "team_members": """
 SELECT l_suppkey * 10000000 + l_partkey AS member_id,
        l_suppkey AS customer_id,

@@ -1,106 +1,118 @@
-"""Exact quantiles with linear interpolation, computed without gathering data.
-
-pandas' ``quantile``/``median`` (and SQL ``quantile_cont``) interpolate
-between the order statistics k0 = floor((n-1)p) and k0+1.  Spark's built-in
-``percentile`` is exact but builds a value->count map of the whole column in
-one task; ``percentile_approx`` is distributed but only approximate.  This
-operator combines them so that the data-sized work is always a partial
-aggregation and only a narrow band of values is ever ordered:
-
-1. one pass: n, min, max and ``percentile_approx`` at p -/+ delta.  The
-   sketch's rank error is at most n/accuracy, so with delta = 5/accuracy the
-   exact order statistics lie inside [lo, hi] (for n <= accuracy the band is
-   simply [min, max]).
-2. one pass: counts per equal-width bucket of [lo, hi] plus the count below
-   lo (at most ``buckets`` + 2 rows) locate the bucket(s) holding k0 and k0+1.
-3. one pass: the distinct values of those buckets with their counts; a
-   running count over them (a small, bounded window) picks the two order
-   statistics exactly, and they are interpolated.
-
-Each pass returns one bounded row (a count, two band bounds, a bucket
-location, two values) - like Spark's own ``approxQuantile`` - so only a
-handful of numbers reach the driver, never the data; the results are then
-used as literals.
+"""Exact quantiles with linear interpolation by digit selection, any number of columns and
+probabilities at once.
+
+pandas' ``quantile``/``median`` (and SQL ``quantile_cont``) interpolate between the
+order statistics ``k0 = floor((n - 1) p)`` and ``k0 + 1``.  Each is selected like a
+radix sort would, without sorting: a double has a 64-bit image that orders as
+the double does (sign, exponent, mantissa), and five passes fix its digits from the
+highest on, 12 bits and four times 13.  A pass counts, for the wanted prefixes only,
+how many values have each next digit: one partially aggregated ``groupBy`` of at most
+8,192 groups a prefix, whatever the data, so gaps, long tails, ties and a single hot
+value change nothing, and no value is ever gathered or ordered.  The driver
+receives those counts and picks the digits.  All columns and probabilities
+share the five passes; pass a materialised ``df`` when it is expensive to recompute.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import as_double
 
+#: Bits below the digits of each pass.
+SHIFTS = (52, 39, 26, 13, 0)
+_INF = 2047 << 52
 
-def _locate(xs: DataFrame, n: int, lo: float, hi: float, p: float, buckets: int) -> float | None:
-    x = F.col("x")
+
+def ordered_bits(x: Column) -> Column:
+    """The long that orders as the double ``x`` does; both zeros give 0, NULL and NaN give NULL."""
+    a = F.abs(x)
+    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
+    # the logarithm may round across a power of two
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    e = F.when(a < power(guess), F.greatest(guess - 1, F.lit(-1022))).when((guess < 1023) & (a >= power(guess + 1)), guess + 1).otherwise(guess)
+    # below the smallest exponent the leading bit is 0, which is the image of those numbers
+    bits = (e.cast("long") + 1022) * F.lit(1 << 52) + (a / power(e) * F.lit(float(1 << 52))).cast("long")
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(_INF)).otherwise(bits)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -size - 1).otherwise(size))
+
+
+def from_bits(u: int) -> float:
+    """The double of an ordered image."""
+    size = -u - 1 if u < 0 else u
+    value = struct.unpack(">d", struct.pack(">q", size))[0]
+    return -value if u < 0 else value
+
+
+def _ranks(n: int, p: float) -> tuple[int, int, float]:
     h = (n - 1) * p
-    k0 = math.floor(h)
-    k1 = min(k0 + 1, n - 1)
-    frac = h - k0
-    if lo == hi:
-        return float(lo)
-    width = (hi - lo) / buckets
-    inner = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1))
-    bucket = F.when(x < lo, F.lit(-1)).when(x > hi, F.lit(buckets)).otherwise(inner).cast("long")
-    holds = lambda k: (F.col("start") <= k) & (k < F.col("end"))
-
-    # pass 2: <= buckets + 2 counts; the running sum over them is bounded
-    run = (xs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
-           .withColumn("end", F.sum("cnt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("start", F.col("end") - F.col("cnt")))
-    loc = run.agg(F.min(F.when(holds(k0), F.col("b"))).alias("b0"),
-                  F.max(F.when(holds(k1), F.col("b"))).alias("b1"),
-                  F.min(F.when(holds(k0), F.col("start"))).alias("base")).first()
-    if loc["b0"] is None:
-        return None
-    # pass 3: distinct values of the one or two located buckets
-    band = (xs.filter(bucket.between(loc["b0"], loc["b1"]))
-            .groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("end", F.lit(loc["base"]) + F.sum("cnt").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("start", F.col("end") - F.col("cnt")))
-    v = band.agg(F.max(F.when(holds(k0), x)).alias("v0"), F.max(F.when(holds(k1), x)).alias("v1")).first()
-    if v["v0"] is None or v["v1"] is None:
-        return None
-    return float(v["v0"] + (v["v1"] - v["v0"]) * frac)
-
-
-def quantile_values(df: DataFrame, column, probs: dict[str, float], accuracy: int = 10000,
-                    buckets: int = 4096) -> dict[str, float | None]:
-    """Exact linear-interpolation quantiles of ``column`` (NULL and NaN
-    ignored), one value per name in ``probs``; None for an empty column.
-    Runs 1 + 2 per probability small aggregation jobs over ``df``; pass a
-    materialised ``df`` when it is expensive to recompute."""
-    xs = df.select(as_double(column).alias("x")).filter(F.col("x").isNotNull())
-    delta = 5.0 / accuracy
-    names = list(probs)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
-    for i, name in enumerate(names):
-        p = probs[name]
-        aggs.append(F.percentile_approx("x", max(p - delta, 0.0), accuracy).alias(f"lo{i}"))
-        aggs.append(F.percentile_approx("x", min(p + delta, 1.0), accuracy).alias(f"hi{i}"))
-    st = xs.agg(*aggs).first()
-    n = st["n"]
+    k = math.floor(h)
+    return k, min(k + 1, n - 1), h - k
+
+
+def multi_quantiles(df: DataFrame, wanted: dict[str, tuple[str | Column, float]]) -> dict[str, float | None]:
+    """The quantile of each name's (column, probability); NULL and NaN are ignored, a
+    column without values gives None.  Five aggregations over ``df`` altogether."""
+    columns: dict[str, tuple[int, Column]] = {}
+    for c, _ in wanted.values():
+        columns.setdefault(str(c), (len(columns), as_double(c)))
+    values = df.select(*[ordered_bits(x).alias(f"u{i}") for i, x in columns.values()])
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"u{i}").alias("u")) for i, _ in columns.values()])))
+    long = long.where(F.col("u").isNotNull())
+    # (column, rank) -> (digits so far, values before them)
+    at: dict[tuple[int, int], tuple[int, int]] = {}
+    sizes: dict[int, int] = {}
+    for shift, before in zip(SHIFTS, (None, *SHIFTS[:-1]), strict=True):
+        rows = long
+        if before is not None:
+            if not at:
+                break
+            by: dict[int, set[int]] = {}
+            for (c, _), (digits, _) in at.items():
+                by.setdefault(c, set()).add(digits)
+            rows = rows.where(reduce(lambda a, b: a | b, [
+                (F.col("c") == c) & F.shiftright("u", before).isin(sorted(d)) for c, d in by.items()]))
+        counts = rows.groupBy("c", F.shiftright("u", shift).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+        found: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
+        for r in counts:
+            found.setdefault((r["c"], None if before is None else r["d"] >> (before - shift)), []).append((r["d"], r["n"]))
+        if before is None:
+            sizes = {c: sum(n for _, n in found[c, None]) for c, _ in found}
+            for c, p in wanted.values():
+                i = columns[str(c)][0]
+                if i in sizes:
+                    at |= {(i, k): (0, 0) for k in _ranks(sizes[i], p)[:2]}
+        for group in found.values():
+            group.sort()
+        for (c, k), (digits, base) in at.items():
+            for d, n in found[c, None if before is None else digits]:
+                if k < base + n:
+                    at[c, k] = (d, base)
+                    break
+                base += n
     out: dict[str, float | None] = {}
-    for i, name in enumerate(names):
-        if not n:
+    for name, (c, p) in wanted.items():
+        i = columns[str(c)][0]
+        if i not in sizes:
             out[name] = None
             continue
-        lo, hi = (st["mn"], st["mx"]) if n <= accuracy else (st[f"lo{i}"], st[f"hi{i}"])
-        out[name] = _locate(xs, n, float(lo), float(hi), probs[name], buckets)
+        k0, k1, part = _ranks(sizes[i], p)
+        lo, hi = from_bits(at[i, k0][0]), from_bits(at[i, k1][0])
+        out[name] = lo if lo == hi else lo + (hi - lo) * part
     return out
 
 
-def exact_quantiles(df: DataFrame, column, probs: dict[str, float], **kw) -> DataFrame:
-    """The quantiles as a one-row DataFrame (one column per name)."""
-    vals = quantile_values(df, column, probs, **kw)
-    return df.sparkSession.createDataFrame([tuple(vals[k] for k in probs)],
-                                           ", ".join(f"`{k}` double" for k in probs))
+def quantile_values(df: DataFrame, column, probs: dict[str, float]) -> dict[str, float | None]:
+    """Quantiles of one column, one value per name in ``probs``."""
+    return multi_quantiles(df, {name: (column, p) for name, p in probs.items()})
 
 
-def quantile_scalars(df: DataFrame, column, probs: dict[str, float], **kw) -> dict:
+def quantile_scalars(df: DataFrame, column, probs: dict[str, float]) -> dict:
     """``{name: Column}`` literal columns for use in expressions (a literal
     bound also reaches the parquet scan as a pushed filter)."""
-    vals = quantile_values(df, column, probs, **kw)
-    return {k: F.lit(v).cast("double") for k, v in vals.items()}
+    return {k: F.lit(v).cast("double") for k, v in quantile_values(df, column, probs).items()}

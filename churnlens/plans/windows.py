@@ -106,3 +106,26 @@ def rank_desc(df: DataFrame, group: str, value: str, out: str,
         j = j.join(F.broadcast(m), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     return (j.withColumn(out, (F.col("_local_rank") + F.coalesce(F.col("_offset"), F.lit(0))).cast("int"))
             .drop(_PID, "_local_rank", "_offset"))
+
+
+def running_sum_by_key(df: DataFrame, key: str, order: list[Column], value: str, out: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING)``,
+    over range partitions, so a key with very many rows is summed by many tasks.
+    The table of boundaries has a row a range partition: the sum of its last key so far,
+    which the next partition adds if it begins with that key."""
+    p = _partitions(df, num_partitions)
+    ranged = _range_split(df, p, F.col(key), *order)
+    rows = Window.partitionBy(key, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_sum", F.sum(value).over(rows))
+
+    # sums of each partition's last key: range partitions are in the order of the keys
+    last = ranged.groupBy(_PID).agg(F.max(F.struct(F.col(key).alias("k"))).alias("_last"))
+    sums = (ranged.join(F.broadcast(last), _PID).where(F.col(key).eqNullSafe(F.col("_last.k")))
+            .groupBy(_PID, key).agg(F.sum(value).alias("_s")))
+    so_far = F.sum("_s").over(Window.partitionBy(key).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0))
+    carry = (sums.withColumn("_upto", so_far).select(_PID, F.struct(F.col(key).alias("k"), F.col("_upto").alias("s")).alias("_end"))
+             .withColumn("_carry", F.lag("_end").over(Window.orderBy(_PID))).select(_PID, "_carry"))
+    same = F.col("_carry").isNotNull() & F.col("_carry.k").eqNullSafe(F.col(key))
+    total = F.coalesce(F.col("_sum"), F.lit(0)) + F.when(same, F.coalesce(F.col("_carry.s"), F.lit(0))).otherwise(F.lit(0))
+    return local.join(F.broadcast(carry), _PID, "left").withColumn(out, total).drop(_PID, "_sum", "_carry")

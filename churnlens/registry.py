@@ -26,7 +26,7 @@ def _register():
     query("plan_summary")(R.plan_summary)
     query("plan_ticket_rate")(R.plan_ticket_rate)
     query("ltv_rank")(R.ltv_rank)
-    query("downgrade_risk")(R.downgrade_risk)
+    query("downgrade_risk")(R.q_downgrade_risk)
     query("subscription_history")(R.subscription_history)
     query("tier_transitions")(R.tier_transitions)
     query("downgrades_all")(R.downgrades_all)

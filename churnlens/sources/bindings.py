@@ -9,7 +9,7 @@ engines see identical inputs.
 
 Everything stays lazy: each binding is a projection (plus at most one join)
 over a parquet scan, so Catalyst prunes the unread columns and pushes filters
-into the scan.  Only ``plans`` is a literal table (5 rows).
+into the scan.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnlens.plans.joins import small
 from churnlens.sources.tables import read_table
 
 # The five plans keyed by the driver's order priorities
@@ -49,10 +50,18 @@ def _days(n: int):
     return F.expr(DAYS.format(n=n))
 
 
-def plans(spark: SparkSession) -> DataFrame:
-    from decimal import Decimal
-    rows = [(a, b, c, Decimal(d), e, f) for a, b, c, d, e, f in PLAN_ROWS]
-    return spark.createDataFrame(rows, PLANS_SCHEMA)
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priorities that orders have, with the attributes of ``PLAN_ROWS``; any other
+    is a free plan under its own name."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("plan_id")).where("plan_id is not null").distinct()
+    other = (F.col("plan_id"), F.lit("free"), F.lit("0.00"), F.lit(None), F.lit(None))
+    cols = []
+    for i, (field, rest) in enumerate(zip(PLANS_SCHEMA.fields[1:], other, strict=True), 1):
+        by = rest
+        for row in PLAN_ROWS:
+            by = F.when(F.col("plan_id") == row[0], F.lit(row[i])).otherwise(by)
+        cols.append(by.cast(field.dataType).alias(field.name))
+    return o.select("plan_id", *cols)
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +142,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer accounts for the duplicate-account report (from supplier).  Names and
+    """The customers' accounts for the duplicate-account report.  Names and
     domains grow with the table: a few accounts share each, whatever its size."""
-    s = read_table(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
+    s = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
     return s.select(
         k.alias("customer_id"),
         F.concat(F.when(k % 2 == 0, "Acme N ").otherwise("ACMEN"), F.floor(k / 4).cast("string")).alias("company_name"),
@@ -254,7 +263,11 @@ class Domain:
         self.spark, self.sf_dir = spark, sf_dir
 
     def plans(self):
-        return plans(self.spark)
+        return plans(self.spark, self.sf_dir)
+
+    def few_plans(self):
+        """The plans, marked for broadcast where they are few."""
+        return small(self.plans())
 
     def subscriptions(self):
         return subscriptions(self.spark, self.sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators.features import Cleaned, engagement_score, materialise
+from churnlens.plans.joins import small
 from churnlens.plans.quantiles import quantile_values
 from churnlens.sources.bindings import Domain
 
@@ -27,7 +28,7 @@ def _rate(part, whole):
 
 
 def _subs_plans(d: Domain) -> DataFrame:
-    return d.subscriptions().join(d.few_plans(), "plan_id", "left")
+    return d.subscriptions().join(small(d.plans()), "plan_id", "left")
 
 
 def _per_customer_trial(d: Domain) -> DataFrame:

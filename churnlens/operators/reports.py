@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import month_text, safe_div
+from churnlens.plans.joins import small
 from churnlens.plans.windows import lag_by_key, rank_desc, running_sum_by_key
 from churnlens.sources.bindings import Domain
 
@@ -20,7 +21,7 @@ NORMAL = "NORMAL ✅"
 
 
 def _plans(d: Domain) -> DataFrame:
-    return d.few_plans()
+    return small(d.plans())
 
 
 def subs_with_plans(d: Domain) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlens.plans.joins import small
 from churnlens.sources.tables import read_table
 
 # The five plans keyed by the driver's order priorities
@@ -265,10 +264,6 @@ class Domain:
     def plans(self):
         return plans(self.spark, self.sf_dir)
 
-    def few_plans(self):
-        """The plans, marked for broadcast where they are few."""
-        return small(self.plans())
-
     def subscriptions(self):
         return subscriptions(self.spark, self.sf_dir)
 

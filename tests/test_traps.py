@@ -25,7 +25,7 @@ class FakeDomain:
         self._t = tables
 
     def plans(self):
-        return self._t.get("plans") or plans_table(self.spark)
+        return self._t.get("plans") or plans_table(self.spark, "/root/testdata/sf0.001")
 
     def __getattr__(self, name):
         if name.startswith("_"):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import materialise
-from churnlens.llm.tokens import encode_text
+from churnlens.llm.tokens import encode_column
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of a group: what one task packs at a time.
@@ -48,8 +48,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode_text(tokenizer, text.as_py()) + end
+            for doc, own in zip(b.column(0).to_pylist(), encode_column(tokenizer, b.column(1)), strict=True):
+                ids = own.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import shared_path
-from churnlens.llm.tokens import encode_text
+from churnlens.llm.tokens import encode_column
 
 INDEX = "doc_id long, file int, offset long, length long, n_tokens long, before long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -99,8 +99,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, voc
                 name = f"{final}.{TaskContext.get().taskAttemptId()}.tmp"
                 out = system.open_output_stream(name)
             index = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(encode_text(tokenizer, text.as_py()), dtype="<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), encode_column(tokenizer, b.column(1)), strict=True):
                 ids = np.append(ids, end_id).astype(wide)
                 record = frame(struct.pack("<qB", doc or 0, doc is None) + ids.tobytes())
                 out.write(record)

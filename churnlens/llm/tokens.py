@@ -1,7 +1,8 @@
 """Token ids through the tokenizers library, with a bounded cache of pieces.
 
 The vocabularies used here split at white space, so a text's ids are those of its
-pieces between single blanks.  A piece seen before comes from a dictionary.  A new
+pieces between single blanks.  A block of texts is split at once, its distinct pieces are
+looked up once each, and all ids are gathered by their numbers.  A piece seen before comes from a dictionary.  A new
 one that is a word of Latin letters, with at most one mark after it, goes straight
 to the library's model, since its pre-tokenizer would leave it whole; any other
 piece goes through the whole library.  Both ways are compared when a tokenizer is
@@ -16,6 +17,13 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from churnlens.llm.common import blocks, text_buffer
 
 #: Cached pieces of a Python worker (about 200 bytes each): two generations of at
 #: most so many; when the younger is full, the older goes.
@@ -117,6 +125,86 @@ class Pieces(dict):
         return self.whole(text)
 
 
+#: Bytes of text encoded together.
+BLOCK = 4 << 20
+#: Bytes that are or begin blanks other than space and new line: such texts are looked at one by one.
+_SUSPECT = np.zeros(256, dtype=bool)
+_SUSPECT[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _plain_rows(pieces: Pieces, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts split into pieces at single blanks."""
+    n = len(column)
+    if pieces.kind == "whole":
+        return np.zeros(n, dtype=bool)
+    plain = np.ones(n, dtype=bool)
+    for a in pieces.added:
+        plain &= ~np.asarray(pc.match_substring(column, a).to_numpy(zero_copy_only=False), dtype=bool)
+    if pieces.kind == "kept":
+        blank = (data == 32) | (data == 10)
+        odd = _SUSPECT[data]
+        odd[1:] |= blank[1:] & blank[:-1]
+        rows = np.flatnonzero(np.diff(offsets) > 0)
+        odd[offsets[:-1][rows]] |= blank[offsets[:-1][rows]]
+        odd[offsets[1:][rows] - 1] |= blank[offsets[1:][rows] - 1]
+        seen = np.zeros(n, dtype=bool)
+        seen[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        for k in np.flatnonzero(seen & plain).tolist():
+            plain[k] = not _ODD.search(column[k].as_py())
+    return plain
+
+
+def _gather(held: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the numbered pieces one after the other, and each piece's length."""
+    ids = np.frombuffer(b"".join(held), dtype="<u4")
+    lens = np.fromiter((len(x) // 4 for x in held), dtype=np.int64, count=len(held))
+    at = np.cumsum(lens) - lens
+    size = lens[which]
+    place = np.repeat(at[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return ids[place], size
+
+
+def encode_column(path: str, column) -> Iterator[np.ndarray]:
+    """The ids of each text of an Arrow column, in order, as unsigned 32-bit integers (null: none)."""
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
+    pieces = _LOADED[path]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    every = text_buffer(column)[1]
+    for i, j in blocks(every, BLOCK):
+        part = pc.fill_null(column.slice(i, j - i).cast(pa.large_string()), "")
+        data, offsets = text_buffer(part)
+        plain = _plain_rows(pieces, part, data, offsets) & (np.diff(offsets) > 0)
+        split = pc.split_pattern(pc.replace_substring(part.filter(pa.array(plain)), "\n", " " if pieces.kind == "dropped" else " \n"), " ")
+        words = split.flatten().dictionary_encode()
+        which = np.asarray(words.indices).astype(np.int64)
+        ends = np.asarray(split.offsets, dtype=np.int64)
+        ends = ends - ends[0]
+        held = words.dictionary.to_pylist()
+        if pieces.kind == "kept":  # a text's first piece has no blank before it
+            first, number = np.unique(which[ends[:-1]], return_inverse=True)
+            rest = np.ones(len(which), dtype=bool)
+            rest[ends[:-1]] = False
+            later = np.zeros(len(held), dtype=bool)
+            later[which[rest]] = True
+            known = [pieces[w] if on else b"" for w, on in zip(held, later.tolist(), strict=True)]
+            which[ends[:-1]] = len(known) + number
+            known += [pieces.whole(held[k]) for k in first.tolist()]
+        else:
+            known = [pieces[w] if w else b"" for w in held]
+        ids, size = _gather(known, which)
+        at = np.concatenate(([0], np.cumsum(size)))[ends]
+        k = 0
+        for row, fine in enumerate(plain.tolist()):
+            if fine:
+                yield ids[at[k]:at[k + 1]]
+                k += 1
+            else:
+                text = part[row].as_py()
+                yield np.frombuffer(pieces.text(text), "<u4") if text else np.zeros(0, "<u4")
+
+
 def encode_text(path: str, text: str | None) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit integers (null: none)."""
     if not text:

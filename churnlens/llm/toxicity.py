@@ -301,13 +301,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")))
     texts = docs.select(key, F.col(text_col).alias("t")).where((size > 0) & (size <= SAMPLE_BYTES))
     order = F.xxhash64("id")
-    rows = []
+    parts = []
     for y, n in ((1, toxic), (0, clean)):
         # a few more ids than needed, since some documents are too long; at most 2 * n rows reach the join
         ids = known.where((F.col("y") > 0) == (y > 0)).orderBy(order, "id").limit(2 * n).select("id")
-        rows += [(r["id"], r["t"], y) for r in texts.join(F.broadcast(ids), "id").orderBy(order, "id", "t").limit(n).collect()]
-    share = sum(y for *_, y in rows) / len(rows) if rows else 0.0
-    return train([t for _, t, _ in rows], [y for *_, y in rows]), share
+        parts.append(texts.join(F.broadcast(ids), "id").orderBy(order, "id", "t").limit(n).select(
+            F.lit(1 - y).alias("k"), order.alias("h"), "id", "t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()))
+        share = sum(1 - r[0] for r in rows) / len(rows) if rows else 0.0
+        model = train([r[3] for r in rows], [1 - r[0] for r in rows]) or {}
+        named = [("", np.array([share]))] + list(model.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in named]), pa.array([v.dtype.str for _, v in named]),
+                                          pa.array([list(v.shape) for _, v in named], pa.list_(pa.int64())),
+                                          pa.array([np.ascontiguousarray(v).tobytes() for _, v in named])], names=["name", "kind", "shape", "data"])
+
+    # one task holds the sample, whose size is bounded, and trains; the driver receives the weights
+    held = parts[0].union(parts[1]).repartition(1).mapInArrow(run, "name string, kind string, shape array<long>, data binary").collect()
+    model = {r["name"]: np.frombuffer(r["data"], dtype=r["kind"]).reshape(r["shape"]).copy() for r in held}
+    share = float(model.pop("", np.zeros(1))[0])
+    return model or None, share
 
 
 def score_texts(column, p: dict | None, share: float) -> np.ndarray:

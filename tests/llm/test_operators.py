@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -100,6 +102,22 @@ def test_ids_as_the_library(name, docs001):
         assert tokens.encode_text(path, x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x[:80]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_columns_as_the_library(name, monkeypatch):
+    """Texts encoded by the block against the library as it is, in blocks of any size."""
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    texts = odd_texts() + ["\n", " ", " a", "a ", "a  b", "a\n\nb", "a \nb", "A. B, c! İΣ don't x\ty", "ﬁ é", "\x85a　b", "x\u2003y", "a\u00a0b c", "日本 語", None, ""]
+    texts += pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    want = [t.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
+    for size in (1, 50_000, 4 << 20):
+        monkeypatch.setattr(tokens, "BLOCK", size)
+        part = texts if size > 1 else texts[:60]
+        got = [x.tolist() for x in tokens.encode_column(path, pa.array(part))]
+        assert got == want[:len(part)]
+    assert list(tokens.encode_column(path, pa.array([], pa.string()))) == []
+
+
 # --- 1 license scan ----------------------------------------------------------
 
 def brute_licenses(texts, contained=license_scan.CONTAINED):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.tdist import p_value
-from churnlens.operators.features import Cleaned, engagement_score, subs_with_plans
+from churnlens.operators.features import Cleaned, engagement_score, materialise, subs_with_plans
 from churnlens.sources.bindings import Domain
 
 ALPHA = 0.05
@@ -38,7 +38,8 @@ def _weights(c: Cleaned, group_flags: dict[str, F.Column], unit: str, without_pl
     for g in group_flags:
         rows = F.when(F.col("s_rows").isNull(), F.lit(int(g == without_plan))).otherwise(F.coalesce(F.col(f"s_{g}"), F.lit(0)))
         cols.append((F.when(rows > 0, F.lit(1)).otherwise(F.lit(0)) if unit == "customer" else F.col("a_rows") * fc * rows).alias(f"w_{g}"))
-    return j.select(*cols).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    # one row a customer, which the passes over the moments read
+    return materialise(j.select(*cols).filter(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
 def _moments(w: DataFrame, groups: list[str], nunique: bool = False) -> DataFrame:

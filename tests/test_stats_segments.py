@@ -3,9 +3,10 @@ row by row in DuckDB from the literal merge, k-means against its invariants."""
 
 import math
 
+import numpy as np
 import pytest
 
-from churnlens.operators.features import Cleaned, customer_features, materialise, winsorized_features
+from churnlens.operators.features import FEATURES, Cleaned, customer_features, materialise, winsorized_features
 from churnlens.operators.segments import fit_segments, segment_summary
 from churnlens.operators.stats import ttest_engagement_churn, ttest_paid_free
 from churnlens.oracle import queries as OQ
@@ -61,3 +62,22 @@ def test_kmeans_invariants(spark):
     assert model.summary.trainingCost == pytest.approx(min(costs))
     summary = segment_summary(out).collect()
     assert [r.segment for r in summary] == [0, 1, 2]
+
+
+def test_kmeans_of_three_clear_groups(spark):
+    """Each start ends as the plain Lloyd iteration does, and the best finds the groups."""
+    rng = np.random.default_rng(8)
+    groups = np.repeat([[0, 0, 0, 0], [100, 5, 1, 9], [5, 90, 40, 1]], 40, axis=0) + rng.normal(0, 1, (120, 4))
+    df = spark.createDataFrame([(i, *map(float, g)) for i, g in enumerate(groups)], "customer_id long, " + ", ".join(f"{x} double" for x in FEATURES))
+    out, fit, costs = fit_segments(df, n_init=4)
+    rows = {r["customer_id"]: r["segment"] for r in out.collect()}
+    assert len({tuple(rows[i] for i in range(a, a + 40)) for a in (0, 40, 80)}) == 3
+    assert all(len({rows[i] for i in range(a, a + 40)}) == 1 for a in (0, 40, 80))
+    z = (groups - groups.mean(0)) / groups.std(0)
+    near = ((z[:, None, :] - np.array(fit.centres)[None]) ** 2).sum(2)
+    assert fit.trainingCost == pytest.approx(near.min(1).sum()) and min(costs) == pytest.approx(fit.trainingCost)
+    for c in range(3):
+        assert np.array(fit.centres[c]) == pytest.approx(z[near.argmin(1) == c].mean(0))
+    few, _, _ = fit_segments(df.limit(2), n_init=2)
+    assert sorted(r["segment"] for r in few.collect()) == [0, 1]
+    assert fit_segments(df.limit(0), n_init=2)[0].collect() == []

@@ -24,9 +24,9 @@ What is left goes to its bucket as packed arrays (8 bytes a cell), and the bucke
 reduces again.  So a tile of any size gives a tree of candidates, never all pairs,
 and a bucket gets no more than one entry of a tile from a block.
 
-Frequent shingles.  A table of 2^20 counters counts, over all sets, how many hold a shingle of
-each hash; shingles of counters above 1/256 of the documents, and four times the mean, are left
-out of cells where a set has enough others.  Any choice is right: what a set leaves out
+Frequent shingles.  A table of 2^22 counters counts, over all sets, how many hold a shingle of
+each hash; shingles of counters above four times the mean (with 600 shingles a document, what
+about one document in 1,750 has), and 16, are left out of cells where a set has enough others.  Any choice is right: what a set leaves out
 depends on the shingle alone, and sets with too few others fall back to all of theirs.
 
 Checks.  A candidate's two sets are compared by size and by parity bitmaps of about
@@ -81,8 +81,8 @@ PART_BYTES, CELLS, BUCKET_SHINGLES = 4 << 20, 3_000_000, 4_000_000
 SALT = 2000
 #: Rounds that join components of a tile by single members before pairs are listed (each costs some jobs).
 ROUNDS = 1
-#: Counters for frequent shingles, as a power of two, and the share of the documents that a frequent one is in.
-COUNTERS, SHARE = 20, 256
+#: Counters for frequent shingles, as a power of two, and how far above the mean (and at least how high) frequent ones stand.
+COUNTERS, ABOVE, LEAST = 22, 4, 16
 #: Rows of a batch taken together, so that places of nodes (and of a node's five groups of cells) fit 16 bits.
 ROWS = 12_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -186,9 +186,10 @@ def counter_of(h: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, total: int, n: int = N) -> np.ndarray:
-    """Flags of the counters (2^``COUNTERS``) that more than one in ``SHARE`` of the ``total`` documents
-    meet, and four times the mean.  Each task sends its counters once, in slices that are summed."""
+    """Flags of the counters (2^``COUNTERS``) that stand ``ABOVE`` times over their mean, of ``total``
+    shingles of all sets.  Each task sends its counters once, in slices that are summed."""
     slice_of = 1 << 14
+    bar = max(LEAST, ABOVE * total / (1 << COUNTERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, dtype=np.int64)
@@ -196,19 +197,20 @@ def frequent_shingles(docs: DataFrame, total: int, n: int = N) -> np.ndarray:
             for _, h, _ in text_sets(b.column(1), n):
                 counts += np.bincount(counter_of(h), minlength=1 << COUNTERS)
         for k in np.flatnonzero(counts.reshape(-1, slice_of).any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts[k * slice_of:(k + 1) * slice_of].astype("<u4").tobytes()])], names=["k", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts[k * slice_of:(k + 1) * slice_of].astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()])], names=["k", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         counts = np.zeros(slice_of, dtype=np.int64)
         for c in table.column("counts"):
-            counts += np.frombuffer(c.as_buffer(), "<u4")
-        return pa.table({"k": table.column("k")[:1], "counts": pa.array([counts.tobytes()])})
+            counts += np.ascontiguousarray(np.frombuffer(c.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        return pa.table({"k": table.column("k")[:1], "flags": pa.array([np.packbits(counts > bar).tobytes()])})
 
-    rows = docs.mapInArrow(run, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect()
-    counts = np.zeros((1 << COUNTERS >> 14, slice_of), dtype=np.int64)
+    # low bytes first: the upper ones are nearly all zero and shrink to nothing in the shuffle
+    rows = docs.mapInArrow(run, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, flags binary").collect()
+    flags = np.zeros((1 << COUNTERS >> 14, slice_of), dtype=bool)
     for r in rows:
-        counts[r["k"]] = np.frombuffer(r["counts"], np.int64)
-    return (counts > max(total / SHARE, 4 * counts.mean())).ravel()
+        flags[r["k"]] = np.unpackbits(np.frombuffer(r["flags"], np.uint8))
+    return flags.ravel()
 
 
 def _trees(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -479,7 +481,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs = docs.where("doc_id is not null").union(named)
         known = known.where("doc_id is not null").union(describe(named, n).withColumn("id", F.lit(None).cast("long")))
         known = materialise(known, "sets")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, count[0], n))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, count[1] or 0, n))
     key = ["d1", "d2", "n_shingles"]
     classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node"), F.min("id").alias("id")), "classes")
     name = classes.select("d1", "node")

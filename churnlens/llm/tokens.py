@@ -27,7 +27,7 @@ from churnlens.llm.common import blocks, text_buffer
 
 #: Cached pieces of a Python worker (about 200 bytes each): two generations of at
 #: most so many; when the younger is full, the older goes.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Blanks that are not single: such texts go through the library whole where blanks count.
 _ODD = re.compile(r"^[ \n]|[ \n]$|[ \n]{2}|[^\S \n]")
 _MARKS = frozenset(".,;:!?")
@@ -126,7 +126,7 @@ class Pieces(dict):
 
 
 #: Bytes of text encoded together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes that are or begin blanks other than space and new line: such texts are looked at one by one.
 _SUSPECT = np.zeros(256, dtype=bool)
 _SUSPECT[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -203,6 +203,8 @@ def encode_column(path: str, column) -> Iterator[np.ndarray]:
             else:
                 text = part[row].as_py()
                 yield np.frombuffer(pieces.text(text), "<u4") if text else np.zeros(0, "<u4")
+        del split, words, held, known, which, ids
+        pa.default_memory_pool().release_unused()
 
 
 def encode_text(path: str, text: str | None) -> bytes:

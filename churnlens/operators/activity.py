@@ -204,6 +204,10 @@ def q_onboarding_funnel(d: Domain):
     return onboarding_funnel(d.activity(), BOUND_STEPS)
 
 
+def q_onboarding_funnel_nested(d: Domain):
+    return onboarding_funnel(d.activity(), BOUND_STEPS, nested=True)
+
+
 #: "Now" of the given events, whose last are of January 2024.
 FIXTURE_NOW = "2024-01-31 00:00:00"
 

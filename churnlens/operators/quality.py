@@ -12,12 +12,13 @@ import re
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import nan_to_null, parse_ts_coerce
 from churnlens.plans.quantiles import quantile_scalars
 from churnlens.sources.bindings import Domain
+from churnlens.sources.sinks import default_export_dir, export_verified, row_text
 
 DUP = "__dup"
 SUFFIX = re.compile(DUP + r"\d+$")
@@ -160,11 +161,17 @@ def null_profile(df: DataFrame, table: str | None = None) -> DataFrame:
     return out.select(F.lit(table).alias("table_name"), "*") if table else out
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row: two hashes over its values and which of them are null."""
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])
+    return [F.xxhash64(nulls, *df.columns).alias("_a"), F.xxhash64(*reversed(df.columns), nulls).alias("_b")]
+
+
 def duplicate_profile(df: DataFrame, table: str | None = None) -> DataFrame:
-    """Rows that repeat an earlier row (``duplicated().sum()``): a group-by
-    on all columns with partial aggregation, so a hot repeated row is
-    reduced map-side."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows that repeat an earlier row (``duplicated().sum()``): 16 bytes a row are
+    grouped, with partial aggregation, not the rows (two of n rows would have to meet in 128 bits
+    to count wrongly)."""
+    g = df.select(*row_digest(df)).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     out = g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
     return out.select(F.lit(table).alias("table_name"), "*") if table else out
 
@@ -216,10 +223,13 @@ def q_clean_features(d: Domain):
 
 
 PROFILED = ["customers", "subscriptions", "plans", "billing_invoices", "support_tickets", "team_members", "feature_flags"]
+COLLECTIONS = ["raw_activity", "raw_surveys", "raw_onboarding"]
 
 
 def _tables(d: Domain) -> dict[str, DataFrame]:
-    return {t: getattr(d, t)() for t in PROFILED}
+    """The seven tables, the three collections and the merged frame."""
+    from churnlens.operators.features import Cleaned, activity_enriched
+    return {t: getattr(d, t)() for t in PROFILED + COLLECTIONS} | {"merged": activity_enriched(Cleaned(d))}
 
 
 def q_null_profile(d: Domain):
@@ -234,8 +244,27 @@ def q_table_shape(d: Domain):
     return reduce(DataFrame.unionByName, [table_shape(df, t) for t, df in _tables(d).items()])
 
 
-def q_table_preview(d: Domain, n: int = 5):
-    return d.subscriptions().orderBy("subscription_id").limit(n)
+def table_preview(d: Domain, name: str = "subscriptions", n: int = 5) -> DataFrame:
+    """The first ``n`` rows of a table or collection, by its first column (ties: by the rows as text)."""
+    if name not in PROFILED + COLLECTIONS:
+        raise ValueError(f"no table {name}; there are {', '.join(PROFILED + COLLECTIONS)}")
+    df = getattr(d, name)()
+    return df.orderBy(df.columns[0], row_text(df.columns)).limit(n)
+
+
+def q_table_preview(d: Domain):
+    return table_preview(d)
+
+
+def q_table_previews(d: Domain, n: int = 5):
+    """``table_preview`` of every table and collection: its name, the row's place and
+    the row as text."""
+    parts = []
+    for name in PROFILED + COLLECTIONS:
+        df = table_preview(d, name, n)
+        place = F.row_number().over(Window.orderBy(df.columns[0], row_text(df.columns))).cast("long")  # over at most n rows
+        parts.append(df.select(F.lit(name).alias("table_name"), place.alias("place"), F.regexp_replace(row_text(df.columns), "\x1f", "|").alias("row")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -------------------------------------------------------------------- Q43
@@ -252,9 +281,6 @@ def cleaned_tables(d: Domain) -> dict[str, DataFrame]:
 
 
 def q_export_clean_csv(d: Domain, out_dir: str | None = None):
-    """Write the cleaned tables as CSV with a header and return the row
-    counts read back from the written files."""
-    from churnlens.sources.sinks import default_export_dir, export_tables, read_back_counts
-    out = out_dir or default_export_dir(d.spark)
-    paths = export_tables(cleaned_tables(d), out)
-    return read_back_counts(d.spark, paths)
+    """Write the cleaned tables as CSV with a header and return the manifest: row
+    counts and digests of the content read back from the written files."""
+    return export_verified(cleaned_tables(d), out_dir or default_export_dir(d.spark))

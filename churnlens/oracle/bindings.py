@@ -49,7 +49,9 @@ SELECT c.c_custkey AS customer_id,
        c.c_name AS company_name,
        CASE WHEN c.c_custkey % 17 = 0 THEN NULL
             ELSE 'contact' || CAST(c.c_custkey AS VARCHAR) || '@d' || CAST(c.c_custkey % 50 AS VARCHAR) || '.com' END AS contact_email,
-       CASE WHEN c.c_custkey % 19 = 0 THEN NULL ELSE 'Contact ' || CAST(c.c_custkey AS VARCHAR) END AS contact_name,
+       CASE WHEN c.c_custkey % 19 = 0 THEN NULL
+            WHEN c.c_custkey % 41 = 0 THEN ' "Contact",' || chr(10) || CAST(c.c_custkey AS VARCHAR) || ' '
+            WHEN c.c_custkey % 43 = 0 THEN '' ELSE 'Contact ' || CAST(c.c_custkey AS VARCHAR) END AS contact_name,
        CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE c.c_mktsegment END AS industry,
        CASE WHEN c.c_custkey % 29 = 0 THEN NULL
             WHEN c.c_custkey % 4 = 0 THEN '1-10' WHEN c.c_custkey % 4 = 1 THEN '11-50'

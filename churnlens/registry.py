@@ -42,6 +42,7 @@ def _register():
     query("feature_retention")(A.q_retention)
     query("onboarding_steps")(A.q_onboarding_steps)
     query("onboarding_funnel")(A.q_onboarding_funnel)
+    query("onboarding_funnel_nested")(A.q_onboarding_funnel_nested)
     query("upsell_targets")(A.q_upsell)
     query("upsell_company_details")(A.q_upsell_details)
 
@@ -60,6 +61,7 @@ def _register():
     query("duplicate_profile")(Q.q_duplicate_profile)
     query("table_shape")(Q.q_table_shape)
     query("table_preview")(Q.q_table_preview)
+    query("table_previews")(Q.q_table_previews)
 
     from churnlens.operators import features as FE
 

@@ -124,7 +124,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, None).otherwise(
             F.concat(F.lit("contact"), k.cast("string"), F.lit("@d"), (k % 50).cast("string"), F.lit(".com"))
         ).alias("contact_email"),
-        F.when(k % 19 == 0, None).otherwise(F.concat(F.lit("Contact "), k.cast("string"))).alias("contact_name"),
+        # blanks, quotes, commas and line breaks, which an export has to keep
+        F.when(k % 19 == 0, None).when(k % 41 == 0, F.concat(F.lit(' "Contact",\n'), k.cast("string"), F.lit(" "))).when(k % 43 == 0, F.lit(""))
+        .otherwise(F.concat(F.lit("Contact "), k.cast("string"))).alias("contact_name"),
         F.when(k % 11 == 0, None).otherwise(F.col("c_mktsegment")).alias("industry"),
         F.when(k % 29 == 0, None).otherwise(size).alias("company_size"),
         F.upper(F.substring(F.col("n_name"), 1, 2)).alias("country_code"),

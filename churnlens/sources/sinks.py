@@ -2,7 +2,9 @@
 (survey Q43, S5).
 
 Spark writes a directory of part files per table, one per partition, in
-parallel; nothing is gathered into a single file on the driver.
+parallel; nothing is gathered into a single file on the driver.  ``export_verified``
+writes to a staging folder, reads the files back, compares rows and a digest of their
+content with the table's own, and only then gives the folder its name.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.plans.session import ensure_checkpoint_dir
@@ -28,6 +30,18 @@ def default_export_dir(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "exports", uuid.uuid4().hex)
 
 
+def row_text(columns: list[str]) -> Column:
+    """A row as text: its values, null as empty, between unit separators."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row (rows, digest): the number of rows and, whatever their order, the sum over them
+    of the first 60 bits of the MD5 of their text."""
+    part = F.conv(F.substring(F.md5(row_text(df.columns)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
 def export_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
     paths = {}
     for name, df in tables.items():
@@ -50,3 +64,32 @@ def read_back_counts(spark: SparkSession, paths: dict[str, str], fmt: str = "csv
         r = spark.read.options(**CSV_READ).csv(path) if fmt == "csv" else spark.read.parquet(path)
         parts.append(r.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(new).getParent())
+    if not system.rename(path(old), path(new)):
+        raise RuntimeError(f"{new} is there already, or cannot be written")
+
+
+def export_verified(tables: dict[str, DataFrame], out_dir: str) -> DataFrame:
+    """Write the tables as CSV below ``out_dir`` and return the manifest (table_name, rows,
+    digest), read from the written files and stored beside them.  A table whose files do not
+    hold what it holds raises and is not published, nor is any other."""
+    spark = next(iter(tables.values())).sparkSession
+    staging = os.path.join(out_dir, f"_staging-{uuid.uuid4().hex}")
+    paths = export_tables(tables, staging)
+    found = {}
+    for name, df in tables.items():
+        back = spark.read.options(**CSV_READ).csv(paths[name])
+        want, got = (content_digest(x).first() for x in (df, back))
+        if want != got:
+            raise RuntimeError(f"{name}: {want['rows']} rows of digest {want['digest']} were written, {got['rows']} of {got['digest']} are read")
+        found[name] = got
+    manifest = spark.createDataFrame([(k, r["rows"], r["digest"]) for k, r in found.items()], "table_name string, rows long, digest string")
+    manifest.coalesce(1).write.json(os.path.join(staging, "_manifest"))
+    for name in [*tables, "_manifest"]:
+        _rename(spark, os.path.join(staging, name), os.path.join(out_dir, name))
+    return manifest

@@ -178,4 +178,4 @@ def vector_components(embeddings: DataFrame, threshold: float = THRESHOLD, id_co
         of = of.join(least, "component_id").withColumn("component_id", F.col("least"))
     out = all_rows.where("good").join(of.drop("id"), "v", "left").select("vec_id", "n_links", "component_id")
     return (out.union(all_rows.where("not good").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
-            .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+            .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -85,6 +85,10 @@ SELECT conv_id, call_id, level, seq, status,
   || ',"level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || CASE WHEN orphan THEN 'null' ELSE '"answer"' END
   || ',"status":"' || status || '"}' AS line
 FROM st
+UNION ALL
+SELECT DISTINCT conv_id, NULL, NULL, turn, 'context',
+  '{"after":null,"arguments":null,"call_id":null,"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"level":null,"name":null,"status":"context"}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 PHRASES = f"""

@@ -84,7 +84,8 @@ ANSWER = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link_tool_calls(*tool_calls.conversation_calls(table(spark, sf_dir, "conversations")), ANSWER)
+    turns = table(spark, sf_dir, "conversations")
+    return tool_calls.link_tool_calls(*tool_calls.conversation_calls(turns), ANSWER, tool_calls.other_turns(turns))
 
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ status: ok, unanswered (no result), duplicate (different calls share an
 identifier; each has its rows, and calls that build on it build on the smallest by name
 and arguments), missing (``after`` names no call),
 cycle, unknown_tool, invalid_json, invalid_arguments; orphan for a result without a
-call.  The first that holds counts, in the order: orphan, duplicate, cycle,
+call; context for a message that is neither.  The first that holds counts, in the order: orphan, duplicate, cycle,
 missing, unknown_tool, invalid_json, invalid_arguments, unanswered, ok.
 
 One row a call and result: conv_id, call_id, level, seq, status, line; line is
@@ -74,8 +74,9 @@ def arguments_status(name: Column, arguments: Column, schemas: Schemas) -> Colum
     return out
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """Calls with their results, levels, status and canonical JSON."""
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, others: DataFrame | None = None) -> DataFrame:
+    """Calls with their results, levels, status and canonical JSON; and the messages
+    ``others`` (conv_id, seq, content) that are neither, each distinct one with a row of its own."""
     one = materialise(calls.select("conv_id", "call_id", "after", "name", "arguments").distinct(), "calls")
     fields = F.struct("name", "arguments", "after", "conv_id")
     heads = materialise(one.where("call_id is not null").groupBy("call_id").agg(F.min(fields)["after"].alias("after"), F.count(F.lit(1)).alias("n")), "heads")
@@ -84,7 +85,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     one = one.withColumn("level", F.when(F.col("parent").isNull(), 0).otherwise(F.col("above") + 1).cast("long"))
     whose = F.col("conv_id") if "conv_id" in results.columns else F.lit(None)
     answers = results.select(F.col("call_id").alias("answers"), "seq", "content", F.when(F.col("call_id").isNull(), whose).alias("whose")).distinct()
-    both = one.withColumn("is_call", F.lit(True)).join(answers, F.col("call_id") == F.col("answers"), "full")
+    # rows without an identifier match nothing: they stay out of the join, where they would meet in one task
+    one = one.withColumn("is_call", F.lit(True))
+    both = (one.where("call_id is not null").join(answers.where("answers is not null"), F.col("call_id") == F.col("answers"), "full")
+            .unionByName(one.where("call_id is null"), allowMissingColumns=True)
+            .unionByName(answers.where("answers is null"), allowMissingColumns=True))
     wrong = arguments_status(F.col("name"), F.col("arguments"), schemas)
     status = (F.when(F.col("is_call").isNull(), "orphan").when(F.col("n") > 1, "duplicate")
               .when(F.col("level").isNull(), "cycle")
@@ -92,6 +97,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
               .otherwise(F.coalesce(wrong, F.when(F.col("content").isNull(), "unanswered").otherwise("ok"))))
     rows = both.select(F.coalesce("conv_id", "whose").alias("conv_id"), F.coalesce("call_id", "answers").alias("call_id"), "level",
                        "seq", status.alias("status"), "name", "after", "content", F.try_parse_json("arguments").alias("arguments"))
+    if others is not None:
+        rows = rows.unionByName(others.select("conv_id", "seq", "content", F.lit("context").alias("status")).distinct(), allowMissingColumns=True)
     line = F.to_json(F.struct("after", "arguments", "call_id", F.col("content"), "level", "name", "status"), {"ignoreNullFields": "false"})
     return rows.select("conv_id", "call_id", "level", "seq", "status", line.alias("line"))
 
@@ -100,7 +107,7 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (conv_id, turn, role, text): a user
     turn asks the tool ``answer``, building on the question two turns before; an
     assistant turn is the result of the call of the turn before.  Without a conv_id or
-    turn both have no identifier.  Turns of other roles are neither."""
+    turn both have no identifier.  Turns of other roles are neither (``other_turns``)."""
     def name(back: int) -> Column:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
 
@@ -113,3 +120,8 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = messages.where("role = 'assistant'").select(
         "conv_id", name(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     return calls, results
+
+
+def other_turns(messages: DataFrame) -> DataFrame:
+    """Turns of plain conversations that are neither calls nor results: system messages, unknown and missing roles."""
+    return messages.where("role is null or role not in ('user', 'assistant')").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("content"))

@@ -28,3 +28,15 @@ def test_turns_without_keys_and_twice(spark):
     assert got == sorted([(1, "1:0", 1, "duplicate", "one"), (1, "1:0", 1, "duplicate", "two"), (None, None, None, "unanswered", "who"),
                           (2, None, None, "invalid_arguments", "when"), (None, None, 1, "orphan", None), (2, None, None, "orphan", None),
                           (3, None, None, "orphan", None)], key=str)
+
+
+def test_turns_of_other_roles_and_rows_without_identifiers(spark):
+    """Every message has a row, also without an identifier or a role."""
+    turns = ([(i, 0, "system", f"s{i}") for i in range(5)] + [(0, 0, "system", "s0"), (None, None, None, None), (1, 3, "tool", "t")]
+             + [(None, k, "user", f"u{k}") for k in range(400)] + [(None, k, "assistant", f"a{k}") for k in range(400)])
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(8)
+    out = tool_calls.link_tool_calls(*tool_calls.conversation_calls(df), queries.ANSWER, tool_calls.other_turns(df))
+    rows = out.collect()
+    assert sum(r["status"] == "context" for r in rows) == 7 and sum(r["status"] == "unanswered" for r in rows) == 400
+    assert sum(r["status"] == "orphan" for r in rows) == 400 and len(rows) == 807
+    assert json.loads(next(r["line"] for r in rows if r["conv_id"] == 1 and r["status"] == "context" and r["seq"] == 3))["content"] == "t"

@@ -21,7 +21,7 @@ Vectors that are null, empty, zero or hold null or non-finite parts link with
 nothing, nor do vectors of different lengths.  Rows with the same vec_id and
 different vectors do not count as each other's links.  A null vec_id stays null; its
 row counts as a link of others, joins components and gets the smallest vec_id of its
-own, or null.  An empty table gives no rows; other columns are ignored.
+own, or null, and is not kept.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

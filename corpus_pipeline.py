@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark contamination, packing.
 
 Each stage works on all documents that the one before kept and takes effect; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, further ones included, whatever their names.
+
+Odd input, in every stage: an empty table gives an empty one; null and empty texts are kept
+(they are not toxic unless most labels are, have no shingles, no words, and pack as the end id
+alone); null ids are kept; repeated rows are one document to the near-duplicate
+stage, which keeps the rows of a kept doc_id all, and rows of their own to the others; very long texts are
+worked on whole.
 """
 
 from __future__ import annotations

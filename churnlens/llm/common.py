@@ -3,6 +3,7 @@ buffers, vectorised word hashes and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
 
@@ -84,6 +85,14 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, after a task that needed much more than the next ones will."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def blocks(offsets: np.ndarray, limit: int):
     """Ranges of rows with at most ``limit`` bytes together (or one row)."""
     i, n = 0, len(offsets) - 1

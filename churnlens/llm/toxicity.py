@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlens.llm.common import ALNUM, U64, blocks, free_name, mix, text_buffer, word_hashes, word_spans
+from churnlens.llm.common import ALNUM, U64, blocks, free_name, give_back, mix, text_buffer, word_hashes, word_spans
 
 WINDOW, STRIDE, HIDDEN, VECTOR, BUCKETS = 32, 16, 8, 6, 1 << 15
 KINDS, BEGINS = ("word", "tri", "begin"), [4, 5, 6, 7, 8, 9]
@@ -225,13 +225,13 @@ def _log_odds(words: Words, y: np.ndarray) -> dict[str, tuple[np.ndarray, np.nda
     return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 7) -> dict | None:
-    """Weights and calibration; None without both labels."""
+def train(texts, labels: list[int], epochs: int = 8, seed: int = 7) -> dict | None:
+    """Weights and calibration from texts (a list or an Arrow column) and labels; None without both labels."""
     y = np.array(labels, dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
     rng = np.random.default_rng(seed)
-    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    data, offsets = text_buffer(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     words = Words(data, offsets)
     p = init(rng)
     odds = _log_odds(words, y)
@@ -309,9 +309,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             F.lit(1 - y).alias("k"), order.alias("h"), "id", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()))
-        share = sum(1 - r[0] for r in rows) / len(rows) if rows else 0.0
-        model = train([r[3] for r in rows], [1 - r[0] for r in rows]) or {}
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("k", "h", "id", "t")]) if held else None
+        del held
+        labels = (1 - np.asarray(rows["k"])).tolist() if rows else []
+        share = sum(labels) / len(labels) if labels else 0.0
+        model = train(rows["t"], labels) or {} if rows else {}
+        del rows
+        give_back()
         named = [("", np.array([share]))] + list(model.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in named]), pa.array([v.dtype.str for _, v in named]),
                                           pa.array([list(v.shape) for _, v in named], pa.list_(pa.int64())),

@@ -29,18 +29,22 @@ each hash; shingles of counters above four times the mean (with 600 shingles a d
 about one document in 1,750 has), and 16, are left out of cells where a set has enough others.  Any choice is right: what a set leaves out
 depends on the shingle alone, and sets with too few others fall back to all of theirs.
 
+Closed sets.  Of the cells of a set at most d = (a + b) / 9 are not its partner's.  A set
+with more than d cells that no other set has links with nothing: it is closed, and its text is
+never read again.  Texts that only share some passages with others are nearly all closed.
+
 Checks.  A candidate's two sets are compared by size and by parity bitmaps of about
 a bit a shingle (bits that differ bound the overlap from above); what passes is
-compared exactly, as sorted arrays.  After the first check, sets of one tile may still stand in different components.  In up to
-``ROUNDS`` further rounds each component of such a tile is checked by one member
+compared exactly, as sorted arrays.  After the first check, open sets of one tile may still stand in different
+components.  Those come together once more, by single shingles: in the order (held in one component
+only, number of holders, hash), which is the same for all, the first shingle that two linked sets share stands
+among the first a - c + 1 and b - c + 1, c = 4 (a + b) / 9 being what they must share.  In up to
+``ROUNDS`` rounds each component of such a shingle is checked by one member
 against one of another, drawn anew, which joins near copies without pairing them.
-What then still stands apart within a tile is paired exhaustively, as far as sizes
+What then still stands apart is paired within the shingle's tile of its size band, as far as places, sizes
 and bitmaps allow, and checked.  So no link between components is missed, and pairs
-within one are not needed.  Before that each set gives up its largest tiles: of the cells of a
-set at most d = (a + b) / 9 are not its partner's, so the first common tile in
-the order (one component only, size, tile) is among the first d + 1 of both, and the others
-need not list the pair again.  Passages that many texts share make the large tiles, and texts with
-enough of their own leave all of those.
+within one are not needed.  Passages that many texts share come last in that order, and texts with
+enough of their own do not meet by them.
 
 Texts without words, null or empty, have an empty set and link with nothing.
 Rows with the same doc_id but other texts count as one document: what links with one links with all.  Rows with a null
@@ -83,8 +87,8 @@ SALT = 2000
 ROUNDS = 1
 #: Counters for frequent shingles, as a power of two, and how far above the mean (and at least how high) frequent ones stand.
 COUNTERS, ABOVE, LEAST = 22, 4, 16
-#: Rows of a batch taken together, so that places of nodes (and of a node's five groups of cells) fit 16 bits.
-ROWS = 12_000
+#: Rows of a batch taken together, so that places of nodes (four for each) fit 16 bits.
+ROWS = 8_000
 _A, _B, _C, _WEAK = (U64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -213,58 +217,82 @@ def frequent_shingles(docs: DataFrame, total: int, n: int = N) -> np.ndarray:
     return flags.ravel()
 
 
-def _trees(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted tiles: which entries go on (each tile's smallest node), and the edges (smallest, other), distinct."""
+def _trees(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted tiles: which entries go on (each tile's smallest node); the edges (smallest, other),
+    distinct; and of the tiles of several nodes the entries, one a node, and those of them that go on."""
     new = np.ones(len(tile), dtype=bool)
     new[1:] = tile[1:] != tile[:-1]
     many = ~new
     many[:-1] |= ~new[1:]
     at = np.flatnonzero(many)
     if not len(at):
-        return new, np.zeros((0, 2), np.int64)
+        return new, np.zeros((0, 2), np.int64), at, at
     o = at[np.lexsort((node[at], tile[at]))]
     first = new[at]  # sorting within tiles leaves the places of their first entries
-    head = node[o[np.flatnonzero(first)]][np.cumsum(first) - 1]
+    of = np.cumsum(first) - 1
+    head = node[o[np.flatnonzero(first)]][of]
     new[o] = first
     edges = np.stack((head, node[o]), 1)
-    return new, np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+    other = head != node[o]
+    shared = np.zeros(of[-1] + 1, dtype=bool)
+    shared[of[other]] = True
+    again = np.zeros(len(o), dtype=bool)  # a copy of the entry before
+    again[1:] = (node[o[1:]] == node[o[:-1]]) & ~first[1:]
+    return new, np.unique(edges[other], axis=0), o[shared[of] & ~again], o[shared[of] & first]
+
 
+def _marks(node: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Rows (node, shared cells of its own band's tiles, of the tiles of the band below, no spare known)."""
+    names, place = np.unique(node, return_inverse=True)
+    shared = [np.bincount(place[upper == u], minlength=len(names)) for u in (0, 1)]
+    return np.stack((names, *shared, *[np.full(len(names), _UNKNOWN)] * 2), 1).astype(np.int64)
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("tiles", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary())])
-_PACKED_DDL = "bucket int, tiles binary, places binary, nodes binary, edges binary"
 
+#: Cells to spare: not known here, and of a set that has too few cells to tell.
+_UNKNOWN, _OPEN = -2, -1
+_PACKED = pa.schema([("bucket", pa.int32()), ("tiles", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary()), ("marks", pa.binary())])
+_PACKED_DDL = "bucket int, tiles binary, places binary, nodes binary, edges binary, marks binary"
 
-def _pack(tile: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket: the tiles' low 48 bits, 16-bit places in a table of nodes,
-    and the candidates found here."""
+
+def _pack(tile: np.ndarray, node: np.ndarray, upper: np.ndarray, spare: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row a bucket: the tiles' low 48 bits, 16-bit places in a table of nodes (four for each: whether
+    the tile is of the band below, and whether it is known here to be shared),
+    and the candidates and marks found here.  ``spare``: rows (node, cells to spare of either band)."""
     order = np.argsort(tile)
-    tile, node = tile[order], node[order]
-    go, edges = _trees(tile, node)
-    tile, node = tile[go], node[go]
+    tile, node, upper = tile[order], node[order], upper[order]
+    go, edges, shared, heads = _trees(tile, node)
+    marks = np.concatenate((_marks(node[shared], upper[shared]), np.stack((spare[:, 0], np.zeros(len(spare), np.int64), np.zeros(len(spare), np.int64), spare[:, 1], spare[:, 2]), 1)))
+    counted = np.zeros(len(tile), dtype=np.int64)
+    counted[heads] = 1
+    tile, node, flags = tile[go], node[go], (upper * 2 + counted)[go]
     bucket = ((tile >> U64(48)) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    tile, node, bucket = tile[order], node[order], bucket[order]
-    edge_bucket = (mix(edges[:, 1].astype(np.uint64)) % U64(buckets)).astype(np.int64)
+    tile, node, flags, bucket = tile[order], node[order], flags[order], bucket[order]
+    to = lambda x: (mix(x.astype(np.uint64)) % U64(buckets)).astype(np.int64)
+    edge_bucket, mark_bucket = to(edges[:, 1]), to(marks[:, 0])
     at, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
     for b in range(buckets):
-        e, s = edges[edge_bucket == b], slice(at[b], at[b + 1])
-        if at[b] < at[b + 1] or len(e):
+        e, m, s = edges[edge_bucket == b], marks[mark_bucket == b], slice(at[b], at[b + 1])
+        if at[b] < at[b + 1] or len(e) or len(m):
             names, places = np.unique(node[s], return_inverse=True)
             low = np.ascontiguousarray(tile[s]).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((b, low.tobytes(), places.astype(np.uint16).tobytes(), names.tobytes(), e.tobytes()))
+            rows.append((b, low.tobytes(), (places * 4 + flags[s]).astype(np.uint16).tobytes(), names.tobytes(), e.tobytes(), m.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tiles, nodes, edges = [], [], []
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    tiles, nodes, flags, edges, marks = [], [], [], [], []
     for r in range(table.num_rows):
-        t, p, n, e = (table.column(c)[r].as_py() for c in ("tiles", "places", "nodes", "edges"))
+        t, p, n, e, m = (table.column(c)[r].as_py() for c in ("tiles", "places", "nodes", "edges", "marks"))
         low = np.zeros((len(t) // 6, 8), dtype=np.uint8)
         low[:, :6] = np.frombuffer(t, dtype=np.uint8).reshape(-1, 6)
         tiles.append(low.view(np.uint64)[:, 0])
-        nodes.append(np.frombuffer(n, dtype=np.int64)[np.frombuffer(p, dtype=np.uint16)])
+        place = np.frombuffer(p, dtype=np.uint16)
+        nodes.append(np.frombuffer(n, dtype=np.int64)[place // 4])
+        flags.append((place % 4).astype(np.uint8))
         edges.append(np.frombuffer(e, dtype=np.int64).reshape(-1, 2))
-    return np.concatenate(tiles), np.concatenate(nodes), np.concatenate(edges)
+        marks.append(np.frombuffer(m, dtype=np.int64).reshape(-1, 5))
+    return tuple(np.concatenate(x) for x in (tiles, nodes, flags, edges, marks))
 
 
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
@@ -284,29 +312,45 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def candidates(docs: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
-    """Candidate edges (u, v) between sets, by their first digest: a tree over each tile."""
+    """Candidate edges (u, v) between sets, by their first digest: a tree over each tile.  Rows without
+    v are marks of the set u: shared cells found (m0, m1), and cells to spare (s0, s1)."""
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         cells = rows = 0
         for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             for _, h, offsets in text_sets(b.column(1), n):
-                tile, of, _, _ = cell_hashes(h, offsets, frequent.value)
-                held.append((tile, digests(h, offsets)[0].view(np.int64)[of]))
+                tile, of, group, slack = cell_hashes(h, offsets, frequent.value)
+                node = digests(h, offsets)[0].view(np.int64)
+                spare = np.column_stack((node, slack[:, :2]))
+                spare[of[group > 1], 1:] = _OPEN  # too few cells: no other set needs to share one
+                held.append((tile, node[of], (group & 1).astype(np.int64), spare[np.diff(offsets) > 0]))
                 cells, rows = cells + len(tile), rows + len(offsets)
-                if cells >= CELLS or rows >= 4 * ROWS:  # with the next block, places still fit 16 bits
+                if cells >= CELLS or rows >= ROWS:  # with the next block, places still fit 16 bits
                     yield _pack(*map(np.concatenate, zip(*held, strict=True)), buckets)
                     held, cells, rows = [], 0, 0
         if cells:
             yield _pack(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
     def meet(table: pa.Table) -> pa.Table:
-        tile, node, edges = _unpack(table)
+        tile, node, flags, edges, marks = _unpack(table)
         order = np.argsort(tile)
-        _, more = _trees(tile[order], node[order])
+        tile, node, flags = tile[order], node[order], flags[order]
+        _, more, shared, _ = _trees(tile, node)
+        shared = shared[flags[shared] & 1 == 0]
         edges = np.unique(np.concatenate((edges, more)), axis=0)
-        return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+        marks = np.concatenate((marks, _marks(node[shared], flags[shared] >> 1)))
+        none = pa.nulls(len(edges), pa.int64())
+        return pa.table({"u": np.concatenate((edges[:, 0], marks[:, 0])), "v": pa.concat_arrays([pa.array(edges[:, 1]), pa.nulls(len(marks), pa.int64())]),
+                         **{c: pa.concat_arrays([none, pa.array(np.ascontiguousarray(marks[:, k]))]) for k, c in enumerate(("m0", "m1", "s0", "s1"), 1)}})
 
-    return docs.mapInArrow(tiles, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+    return docs.mapInArrow(tiles, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "u long, v long, m0 long, m1 long, s0 long, s1 long")
+
+
+def open_sets(found: DataFrame) -> DataFrame:
+    """The sets u of ``candidates`` that may link: so many of their cells are shared that the others are
+    no more than two linked sets can differ in."""
+    marks = found.where("v is null").groupBy("u").agg(F.sum("m0").alias("m0"), F.sum("m1").alias("m1"), F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    return marks.where("m0 > s0 or m1 > s1").select("u")
 
 
 def parity(h: np.ndarray) -> np.ndarray:
@@ -392,55 +436,53 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-_MIXED = pa.schema([("bucket", pa.int32()), ("tiles", pa.binary()), ("places", pa.binary()), ("members", pa.binary())])
+_MIXED = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("places", pa.binary()), ("members", pa.binary())])
 
 
-def mixed_tiles(texts: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
-    """Members (tile, doc_id) of the tiles of texts (doc_id, component, text) that hold
-    several components, but for the largest tiles that a set can give up.  Cells travel
-    packed, 8 bytes each, as in ``candidates``."""
+def mixed_shingles(texts: DataFrame, buckets: int, n: int = N) -> DataFrame:
+    """Members (tile, doc_id, set, n, place) of the shingles of texts (doc_id, component, text) that
+    several components hold.  ``place`` is the shingle's among all n of the set in the order (held in one component only,
+    number of holders, hash); rows beyond where a linked set's first common one can stand are left out.
+    Shingles travel packed, 10 bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             node, comp = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 1))
             for i, h, offsets in text_sets(b.column(2), n):
-                tile, of, group, slack = cell_hashes(h, offsets, frequent.value)
-                bucket = ((tile >> U64(48)) % U64(buckets)).astype(np.int64)
+                size = np.diff(offsets)
+                bucket = ((h >> U64(48)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 digest = digests(h, offsets)[0].view(np.int64)
-                tile, member = tile[order], (of * 5 + group)[order]
+                shingle, of = h[order], np.repeat(np.arange(len(size)), size)[order]
                 at, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
                 for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                    who, places = np.unique(member[at[k]:at[k + 1]], return_inverse=True)
-                    low = np.ascontiguousarray(tile[at[k]:at[k + 1]]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    about = np.stack((node[who // 5 + i], comp[who // 5 + i], who % 5, slack[who // 5, who % 5], digest[who // 5]), 1)
-                    rows.append((k, low.tobytes(), places.astype(np.uint16).tobytes(), about.tobytes()))
+                    who, places = np.unique(of[at[k]:at[k + 1]], return_inverse=True)
+                    about = np.stack((node[who + i], comp[who + i], size[who], digest[who]), 1)
+                    rows.append((k, shingle[at[k]:at[k + 1]].tobytes(), places.astype(np.uint16).tobytes(), about.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MIXED, strict=True)], schema=_MIXED)
 
     def meet(table: pa.Table) -> pa.Table:
-        tiles, about = [], []
-        for r in range(table.num_rows):
-            t, p, m = (table.column(x)[r].as_py() for x in ("tiles", "places", "members"))
-            low = np.zeros((len(t) // 6, 8), dtype=np.uint8)
-            low[:, :6] = np.frombuffer(t, dtype=np.uint8).reshape(-1, 6)
-            tiles.append(low.view(np.int64)[:, 0])
-            about.append(np.frombuffer(m, np.int64).reshape(-1, 5)[np.frombuffer(p, dtype=np.uint16)])
-        tile, about = np.concatenate(tiles), np.concatenate(about)
+        columns = [[x.as_buffer() for x in table.column(c)] for c in ("shingles", "places", "members")]
+        tile = np.concatenate([np.frombuffer(t, np.int64) for t in columns[0]])
+        about = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 4)[np.frombuffer(p, np.uint16)] for p, m in zip(*columns[1:], strict=True)])
         order = np.argsort(tile)
         tile, about = tile[order], about[order]
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         mixed = np.minimum.reduceat(about[:, 1], first) < np.maximum.reduceat(about[:, 1], first)
         size = np.diff(np.append(first, len(tile)))
         keep = np.repeat(mixed, size)
-        # low halves of tiles are unique within a bucket: the bucket goes on top
-        return pa.table({"tile": tile[keep] | np.int64(table.column("bucket")[0].as_py()) << 48, "doc_id": about[keep, 0], "group": about[keep, 2],
-                         "slack": about[keep, 3], "set": about[keep, 4], "size": np.repeat(size, size)[keep]})
+        tile, about, size = tile[keep], about[keep], np.repeat(size, size)[keep]
+        order = np.lexsort((about[:, 3], about[:, 0], tile))
+        tile, about, size = tile[order], about[order], size[order]
+        new = np.ones(len(tile), dtype=bool)  # repeated rows of a document count once
+        new[1:] = (tile[1:] != tile[:-1]) | (about[1:, 0] != about[:-1, 0]) | (about[1:, 3] != about[:-1, 3])
+        return pa.table({"tile": tile[new], "doc_id": about[new, 0], "n": about[new, 2], "set": about[new, 3], "size": size[new]})
 
-    members = (texts.mapInArrow(run, "bucket int, tiles binary, places binary, members binary").groupBy("bucket")
-               .applyInArrow(meet, "tile long, doc_id long, group long, slack long, set long, size long"))
-    # a set's own cells: no more than its shingles
-    place = F.row_number().over(Window.partitionBy("doc_id", "set", "group").orderBy(F.col("size").desc(), F.col("tile").desc()))
-    return members.withColumn("place", place).where(F.col("place") > F.col("slack")).select("tile", "doc_id").distinct()
+    members = (texts.mapInArrow(run, "bucket int, shingles binary, places binary, members binary").groupBy("bucket")
+               .applyInArrow(meet, "tile long, doc_id long, n long, set long, size long"))
+    own = Window.partitionBy("doc_id", "set")  # one set: no more rows than its shingles
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("size", "tile"))
+    return members.withColumn("place", place).where(f"{DEN} * (place - 1) <= {DEN - NUM} * n").select("tile", "doc_id", "set", "n", "place")
 
 
 def member_pairs(rows: DataFrame, r: int) -> DataFrame:
@@ -453,20 +495,25 @@ def member_pairs(rows: DataFrame, r: int) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of one tile that stand in different components and that sizes and, for
+    """Pairs of one shingle and size band that stand in different components and that places, sizes and, for
     sets of up to some hundred shingles, 256 parity bits allow."""
     mixed = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tile")
     word = lambda i: F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("long")
     # longer bitmaps are left to the next step: here each set gives the first 256 bits of one length
     rows = rows.join(mixed, "tile", "left_semi").join(known.select(
-        F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.octet_length("bits").alias("len"), *[word(i).alias(f"b{i}") for i in range(4)]), "doc_id")
-    rows = materialise(rows, "tiles")
-    a, b = rows.alias("a"), rows.alias("b")
+        F.col("node").alias("doc_id"), F.col("d1").alias("set"), F.octet_length("bits").alias("len"), *[word(i).alias(f"b{i}") for i in range(4)]), ["doc_id", "set"])
+    rows = materialise(rows.withColumn("band", F.length(F.bin("n")) - 1), "tiles")
+    a = rows.alias("a")  # the smaller set, in its own band; the other one may stand in the next
+    b = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("b")
     differ = sum((F.coalesce(F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))), F.lit(0)) for i in range(4)), F.lit(0))
-    can = ((F.col("a.tile") == F.col("b.tile")) & (F.col("a.component") < F.col("b.component"))
-           & (NUM * F.col("a.n") <= DEN * F.col("b.n")) & (NUM * F.col("b.n") <= DEN * F.col("a.n"))
-           & ((F.col("a.len") != F.col("b.len")) | (9 * differ <= F.col("a.n") + F.col("b.n"))))
-    return a.join(b, can).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    both = F.col("a.n") + F.col("b.n")
+    # 9 * overlap >= 4 * both, and what is shared stands at or after the first place in either
+    ahead = lambda s: 9 * (F.col(f"{s}.n") - F.col(f"{s}.place") + 1) >= 4 * both
+    can = ((F.col("a.tile") == F.col("b.tile")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component"))
+           & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.doc_id") < F.col("b.doc_id"))))
+           & (NUM * F.col("b.n") <= DEN * F.col("a.n")) & ahead("a") & ahead("b")
+           & ((F.col("a.len") != F.col("b.len")) | (9 * differ <= both)))
+    return a.join(b, can).select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).where("u < v").distinct()
 
 
 def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -486,15 +533,18 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(known.where("d1 is not null").groupBy(*key, "bits").agg(F.min("doc_id").alias("node"), F.min("id").alias("id")), "classes")
     name = classes.select("d1", "node")
     buckets = max(1, -(-int(count[1] or 0) // BUCKET_SHINGLES))
-    found = candidates(docs, buckets, frequent, n)
+    found = materialise(candidates(docs, buckets, frequent, n), "cells")
     twins = name.groupBy("d1").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("u", "v")
+    open_ = open_sets(found).join(name.withColumnRenamed("d1", "u"), "u").select("node").union(twins.select("u")).union(twins.select("v"))
+    open_ = materialise(open_.distinct(), "open")
     edges = materialise(
-        found.join(name.select(F.col("d1").alias("u"), F.col("node").alias("a")), "u")
+        found.where("v is not null").select("u", "v").distinct().join(name.select(F.col("d1").alias("u"), F.col("node").alias("a")), "u")
         .join(name.select(F.col("d1").alias("v"), F.col("node").alias("b")), "v")
         .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").union(twins).distinct(), "candidates")
-    nodes = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
-    texts = materialise(docs.join(nodes, "doc_id", "left_semi"), "texts")
-    near = verify(possible(edges, classes), texts, n)
+    is_open = lambda df, c: df.join(open_.select(F.col("node").alias(c)), c, "left_semi")
+    near = materialise(possible(is_open(is_open(edges, "u"), "v"), classes), "pairs")
+    texts = materialise(docs.join(open_.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    near = verify(near, texts, n)
     twice = (known.where("d1 is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
              .where("lo <> hi").select("doc_id"))
     if twice.take(1):  # an id of several classes joins them
@@ -510,11 +560,11 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = (texts.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text").join(mixed, "component", "left_semi")
               .select("doc_id", "component", "text"))
-    members = materialise(mixed_tiles(placed, buckets, frequent, n), "tiles")
+    members = materialise(mixed_shingles(placed, buckets, n), "tiles")
 
     def current() -> DataFrame:
         return (members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                .select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+                .select("tile", "doc_id", "set", "n", "place", F.coalesce("component", "doc_id").alias("component")))
 
     for r in range(ROUNDS + 1):
         pairs = member_pairs(current(), r) if r < ROUNDS else cross_pairs(current(), classes)

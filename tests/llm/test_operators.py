@@ -385,6 +385,41 @@ def test_cells_miss_no_linked_pair():
             assert ngram_join.linked(a, b)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_join_shared_passages(spark, seed):
+    """Texts of shared passages and own words in all shares, with near copies of some: sets that only
+    share passages are closed, and no link among the others is lost, whatever heads their tiles."""
+    rng = np.random.default_rng(100 + seed)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    passages, rows = [[word() for _ in range(n)] for n in (40, 90, 160)], []
+    for k in range(90):
+        shared = passages[k % 3]
+        own = [word() for _ in range(int(len(shared) * rng.choice([.05, .1, .15, .2, .25, .3, .6, 1.5])))]
+        text = own[:len(own) // 2] + shared + own[len(own) // 2:]
+        rows.append(text)
+        if k % 4 == 0:  # a near copy around the threshold
+            text = list(text)
+            for at in rng.integers(0, len(text), max(1, len(text) // 45)):
+                text[at] = word()
+            rows.append(text)
+    order = rng.permutation(len(rows))
+    rows = [(int(i), " ".join(t)) for i, t in zip(order, rows, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.text_components(df).collect()}
+    assert got == brute_near(rows)
+
+
+def test_ngram_join_links_under_a_closed_head(spark):
+    """Two near copies whose common tiles are all headed by sets that share a passage with them."""
+    own = [[f"{c}{i}" for i in range(200)] for c in "abcdefgh"]
+    base = [w for part in own for w in part[:25]]
+    rows = [(k, " ".join(part[:25] + [f"x{k}-{i}" for i in range(150)])) for k, part in enumerate(own)]
+    rows += [(100, " ".join(base)), (101, " ".join(base[:-2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.text_components(df).collect()}
+    assert got == brute_near(rows) and got[101][1] == 100
+
+
 def test_ngram_repeated_ids(spark):
     """Rows of one doc_id are one document, whatever their texts."""
     text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.plans.session import ensure_checkpoint_dir
@@ -35,11 +36,22 @@ def row_text(columns: list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """One row (rows, digest): the number of rows and, whatever their order, the sum over them
+#: The bits of an MD5 are summed in parts of so many, each in a long of its own.
+PART_BITS = 20
+
+
+def digest_columns(df: DataFrame) -> list[Column]:
+    """Aggregates (rows, digest): the number of rows and, whatever their order, the sum over them
     of the first 60 bits of the MD5 of their text."""
-    part = F.conv(F.substring(F.md5(row_text(df.columns)), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+    bits = F.conv(F.substring(F.md5(row_text(df.columns)), 1, 15), 16, 10).cast("long")
+    parts = [F.sum(F.shiftright(bits, PART_BITS * k).bitwiseAND((1 << PART_BITS) - 1)) for k in range(3)]
+    whole = [F.coalesce(p, F.lit(0)).cast("decimal(20,0)") * F.lit(Decimal(1 << PART_BITS * k)) for k, p in enumerate(parts)]
+    return [F.count(F.lit(1)).alias("rows"), (whole[0] + whole[1] + whole[2]).cast("string").alias("digest")]
+
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row (rows, digest) of ``digest_columns``."""
+    return df.agg(*digest_columns(df))
 
 
 def export_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
@@ -77,14 +89,16 @@ def _rename(spark: SparkSession, old: str, new: str) -> None:
 def export_verified(tables: dict[str, DataFrame], out_dir: str) -> DataFrame:
     """Write the tables as CSV below ``out_dir`` and return the manifest (table_name, rows,
     digest), read from the written files and stored beside them.  A table whose files do not
-    hold what it holds raises and is not published, nor is any other."""
+    hold what it holds raises and is not published, nor is any other.  A table's own digest is
+    observed while it is written, so that it is made once."""
     spark = next(iter(tables.values())).sparkSession
     staging = os.path.join(out_dir, f"_staging-{uuid.uuid4().hex}")
-    paths = export_tables(tables, staging)
+    seen = {name: Observation() for name in tables}
+    paths = export_tables({name: df.observe(seen[name], *digest_columns(df)) for name, df in tables.items()}, staging)
     found = {}
-    for name, df in tables.items():
+    for name in tables:
         back = spark.read.options(**CSV_READ).csv(paths[name])
-        want, got = (content_digest(x).first() for x in (df, back))
+        want, got = seen[name].get, content_digest(back).first().asDict()
         if want != got:
             raise RuntimeError(f"{name}: {want['rows']} rows of digest {want['digest']} were written, {got['rows']} of {got['digest']} are read")
         found[name] = got

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from churnlens.operators import quality
 from churnlens.plans.joins import hot_left_join, is_small
 from churnlens.plans.quantiles import multi_quantiles
-from churnlens.plans.session import ensure_checkpoint_dir
+from churnlens.plans.session import materialise
 from churnlens.sources.bindings import Domain
 
 FEATURES = ["total_session_time", "total_events", "avg_revenue", "avg_nps"]
@@ -66,10 +66,10 @@ def subs_with_plans(c: Cleaned) -> DataFrame:
 
 def _merge(c: Cleaned, a: DataFrame, s: DataFrame, cu: DataFrame, p: DataFrame) -> DataFrame:
     """The merge of the given sides; a customer with very many records is split over
-    tasks (``plans.joins``)."""
+    tasks (``plans.joins``), by the records before any are dropped, which are at hand."""
     s = _prefix_clashes(a.columns, s, ["customer_id"], "subscriptions")
     cu = _prefix_clashes(a.columns + s.columns, cu, ["customer_id"], "customers")
-    j = hot_left_join(a, [s, cu], "customer_id")
+    j = hot_left_join(a, [s, cu], "customer_id", counted=c.activity)
     p = _prefix_clashes(j.columns, p, ["plan_id"], "plans").withColumnRenamed("plan_id", "_plan_id")
     return j.join(c.few(p), j["plan_id"].eqNullSafe(p["_plan_id"]), "left").drop("_plan_id")
 
@@ -167,13 +167,6 @@ def customer_features(c: Cleaned) -> DataFrame:
         F.coalesce(F.col("c_nps") / F.col("c_rows"), F.lit(0.0)).alias("avg_nps"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder;
-    used before multi-pass steps (quantiles, k-means) on a derived table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def winsorized_features(features: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Clip each feature to its exact ``lo``/``hi`` quantiles (Q39), all
     bounds selected together."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import nan_to_null, parse_ts_coerce
 from churnlens.plans.quantiles import quantile_scalars
+from churnlens.plans.session import materialise
 from churnlens.sources.bindings import Domain
 from churnlens.sources.sinks import default_export_dir, export_verified, row_text
 
@@ -72,7 +73,8 @@ def clean_activity(raw: DataFrame, iqr_fence: float = 1.5) -> DataFrame:
     customer, fill duration 0 / event 'unknown', then keep durations inside
     the inclusive Tukey fence (exact linear-interpolation quartiles).
     All rows are kept up to the fence (the inspection-slip trap T1 is not
-    reproduced)."""
+    reproduced).  What comes before the fence is written once: the quartiles' passes
+    and whatever is made of the result read that, not the collection and its joins."""
     df = normalise_columns(raw)
     df = coalesce_alias(df, "customer_id", "customerid")
     df = coalesce_alias(df, "member_id", "userid")
@@ -80,6 +82,7 @@ def clean_activity(raw: DataFrame, iqr_fence: float = 1.5) -> DataFrame:
     df = df.filter(F.col("customer_id").isNotNull())
     df = df.withColumn("session_duration_sec", F.coalesce(nan_to_null(F.col("session_duration_sec").cast("double")), F.lit(0.0)))
     df = df.withColumn("event_type", F.coalesce(F.col("event_type"), F.lit("unknown")))
+    df = materialise(df, "activity")
     q = quantile_scalars(df, "session_duration_sec", {"q1": 0.25, "q3": 0.75})
     iqr = q["q3"] - q["q1"]
     lo, hi = q["q1"] - iqr_fence * iqr, q["q3"] + iqr_fence * iqr

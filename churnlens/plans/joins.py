@@ -31,11 +31,13 @@ def hot_keys(df: DataFrame, key: str, shares: int | None = None) -> DataFrame:
     return counts.where(F.col("_n") > chunk).select(key, F.ceil(F.col("_n") / chunk).cast("int").alias(_SHARES))
 
 
-def hot_left_join(left: DataFrame, rights: list[DataFrame], key: str, shares: int | None = None) -> DataFrame:
+def hot_left_join(left: DataFrame, rights: list[DataFrame], key: str, shares: int | None = None,
+                  counted: DataFrame | None = None) -> DataFrame:
     """``left`` LEFT JOIN each of ``rights`` on ``key``, heavy keys of ``left`` split.  The
-    joins share one placing of the left rows."""
+    joins share one placing of the left rows.  ``counted``: rows that hold ``left``'s and are cheaper
+    to read, in which to look for the heavy keys."""
     shares = shares or 16 * shuffle_partitions(left)
-    hot = F.broadcast(hot_keys(left, key, shares))
+    hot = F.broadcast(hot_keys(left if counted is None else counted, key, shares))
     place = F.xxhash64(*left.columns)
     salt = F.when(F.col(key).isNull(), F.pmod(place, F.lit(shares))).otherwise(F.coalesce(F.pmod(place, F.col(_SHARES)), F.lit(0)))
     out = left.join(hot, key, "left").withColumn(_SALT, salt.cast("int")).drop(_SHARES)

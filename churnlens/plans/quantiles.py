@@ -10,7 +10,7 @@ how many values have each next digit: one partially aggregated ``groupBy`` of at
 8,192 groups a prefix, whatever the data, so gaps, long tails, ties and a single hot
 value change nothing, and no value is ever gathered or ordered.  The driver
 receives those counts and picks the digits.  All columns and probabilities
-share the five passes; pass a materialised ``df`` when it is expensive to recompute.
+share the five passes, and those read the images, which are written once.
 """
 
 from __future__ import annotations
@@ -23,25 +23,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.exprs import as_double
+from churnlens.plans.session import materialise
 
 #: Bits below the digits of each pass.
 SHIFTS = (52, 39, 26, 13, 0)
 _INF = 2047 << 52
 
 
-def ordered_bits(x: Column) -> Column:
-    """The long that orders as the double ``x`` does; both zeros give 0, NULL and NaN give NULL."""
-    a = F.abs(x)
-    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
-    # the logarithm may round across a power of two
-    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    e = F.when(a < power(guess), F.greatest(guess - 1, F.lit(-1022))).when((guess < 1023) & (a >= power(guess + 1)), guess + 1).otherwise(guess)
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def _guess(a: Column) -> Column:
+    """About the exponent of ``a``: the logarithm may round across a power of two."""
+    return F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
+
+
+def _exponent(a: Column, guess: Column) -> Column:
+    return F.when(a < _power(guess), F.greatest(guess - 1, F.lit(-1022))).when((guess < 1023) & (a >= _power(guess + 1)), guess + 1).otherwise(guess)
+
+
+def _image(x: Column, a: Column, e: Column) -> Column:
     # below the smallest exponent the leading bit is 0, which is the image of those numbers
-    bits = (e.cast("long") + 1022) * F.lit(1 << 52) + (a / power(e) * F.lit(float(1 << 52))).cast("long")
+    bits = (e.cast("long") + 1022) * F.lit(1 << 52) + (a / _power(e) * F.lit(float(1 << 52))).cast("long")
     size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(_INF)).otherwise(bits)
     return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -size - 1).otherwise(size))
 
 
+def ordered_bits(x: Column) -> Column:
+    """The long that orders as the double ``x`` does; both zeros give 0, NULL and NaN give NULL."""
+    a = F.abs(x)
+    return _image(x, a, _exponent(a, _guess(a)))
+
+
+def ordered_columns(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """``ordered_bits`` of the columns as ``u0``, ``u1``, ...: step by step, so that no step's
+    expression is worked out again at each place where the next one names it."""
+    n = range(len(columns))
+    c = lambda name, i: F.col(f"{name}{i}")
+    out = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns)])
+    out = out.select("*", *[F.abs(c("x", i)).alias(f"a{i}") for i in n])
+    out = out.select("*", *[_guess(c("a", i)).alias(f"g{i}") for i in n])
+    out = out.select("*", *[_exponent(c("a", i), c("g", i)).alias(f"e{i}") for i in n])
+    return out.select(*[_image(c("x", i), c("a", i), c("e", i)).alias(f"u{i}") for i in n])
+
+
 def from_bits(u: int) -> float:
     """The double of an ordered image."""
     size = -u - 1 if u < 0 else u
@@ -57,13 +83,14 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 def multi_quantiles(df: DataFrame, wanted: dict[str, tuple[str | Column, float]]) -> dict[str, float | None]:
     """The quantile of each name's (column, probability); NULL and NaN are ignored, a
-    column without values gives None.  Five aggregations over ``df`` altogether."""
+    column without values gives None.  The images are written once, from one pass over ``df``,
+    and the five aggregations read those."""
     columns: dict[str, tuple[int, Column]] = {}
     for c, _ in wanted.values():
         columns.setdefault(str(c), (len(columns), as_double(c)))
-    values = df.select(*[ordered_bits(x).alias(f"u{i}") for i, x in columns.values()])
+    values = ordered_columns(df, [x for _, x in columns.values()])
     long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"u{i}").alias("u")) for i, _ in columns.values()])))
-    long = long.where(F.col("u").isNotNull())
+    long = materialise(long, "images").where(F.col("u").isNotNull())
     # (column, rank) -> (digits so far, values before them)
     at: dict[tuple[int, int], tuple[int, int]] = {}
     sizes: dict[int, int] = {}

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are designed for.  AQE is what turns the
 # unhinted joins into broadcast joins when a side turns out to be small at
@@ -59,3 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="churnlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: no later pass runs
+    the work before it again, and a pass reads only the columns it needs.  (A reliable
+    ``checkpoint`` would run that work twice, once for each of its jobs.)"""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -166,8 +166,9 @@ def null_profile(df: DataFrame, table: str | None = None) -> DataFrame:
 
 def row_digest(df: DataFrame) -> list[Column]:
     """128 bits of a row: two hashes over its values and which of them are null."""
-    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])
-    return [F.xxhash64(nulls, *df.columns).alias("_a"), F.xxhash64(*reversed(df.columns), nulls).alias("_b")]
+    flags = [F.shiftleft(F.col(c).isNull().cast("long"), i % 60) for i, c in enumerate(df.columns)]
+    nulls = [reduce(Column.bitwiseOR, flags[i:i + 60]) for i in range(0, len(flags), 60)]
+    return [F.xxhash64(*nulls, *df.columns).alias("_a"), F.xxhash64(*reversed(df.columns), *nulls).alias("_b")]
 
 
 def duplicate_profile(df: DataFrame, table: str | None = None) -> DataFrame:

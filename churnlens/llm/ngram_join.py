@@ -295,6 +295,32 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in (tiles, nodes, flags, edges, marks))
 
 
+def _deal(edges: np.ndarray, marks: np.ndarray, slices: int) -> pa.Table:
+    """Candidates and marks as one row a slice: those of a set are together."""
+    to = lambda x: (mix(x.astype(np.uint64)) % U64(slices)).astype(np.int64)
+    parts = []
+    for rows, key in ((edges, to(edges[:, 1])), (marks, to(marks[:, 0]))):
+        order = np.argsort(key, kind="stable")
+        parts.append((np.ascontiguousarray(rows[order]), np.searchsorted(key[order], np.arange(slices + 1))))
+    (e, at), (m, to_) = parts
+    used = np.flatnonzero((np.diff(at) > 0) | (np.diff(to_) > 0)).tolist()
+    return pa.table({"slice": pa.array(used, pa.int32()), "edges": pa.array([e[at[k]:at[k + 1]].tobytes() for k in used], pa.binary()),
+                     "marks": pa.array([m[to_[k]:to_[k + 1]].tobytes() for k in used], pa.binary())})
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """A slice's distinct candidates, and one mark a set: its shared cells added up, its cells to spare."""
+    edges, marks = (np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, k) for x in table.column(c)]) for c, k in (("edges", 2), ("marks", 5)))
+    edges = np.unique(edges, axis=0)
+    marks = marks[np.argsort(marks[:, 0], kind="stable")]
+    first = np.flatnonzero(np.append(True, marks[1:, 0] != marks[:-1, 0]))[:len(marks)]
+    if len(marks):
+        marks = np.column_stack((marks[first, 0], np.add.reduceat(marks[:, 1:3], first), np.maximum.reduceat(marks[:, 3:], first)))
+    none = pa.nulls(len(edges), pa.int64())
+    return pa.table({"u": np.concatenate((edges[:, 0], marks[:, 0])), "v": pa.concat_arrays([pa.array(edges[:, 1]), pa.nulls(len(marks), pa.int64())]),
+                     **{c: pa.concat_arrays([none, pa.array(np.ascontiguousarray(marks[:, k]))]) for k, c in enumerate(("m0", "m1", "s0", "s1"), 1)}})
+
+
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, size of the set, its two digests and its parity bitmap (null for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +338,8 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def candidates(docs: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame:
-    """Candidate edges (u, v) between sets, by their first digest: a tree over each tile.  Rows without
-    v are marks of the set u: shared cells found (m0, m1), and cells to spare (s0, s1)."""
+    """Candidate edges (u, v) between sets, by their first digest: a tree over each tile, each edge once.
+    Rows without v, one a set, are marks of the set u: shared cells found (m0, m1), and cells to spare (s0, s1)."""
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         cells = rows = 0
@@ -339,11 +365,11 @@ def candidates(docs: DataFrame, buckets: int, frequent, n: int = N) -> DataFrame
         shared = shared[flags[shared] & 1 == 0]
         edges = np.unique(np.concatenate((edges, more)), axis=0)
         marks = np.concatenate((marks, _marks(node[shared], flags[shared] >> 1)))
-        none = pa.nulls(len(edges), pa.int64())
-        return pa.table({"u": np.concatenate((edges[:, 0], marks[:, 0])), "v": pa.concat_arrays([pa.array(edges[:, 1]), pa.nulls(len(marks), pa.int64())]),
-                         **{c: pa.concat_arrays([none, pa.array(np.ascontiguousarray(marks[:, k]))]) for k, c in enumerate(("m0", "m1", "s0", "s1"), 1)}})
+        return _deal(edges, marks, buckets)
 
-    return docs.mapInArrow(tiles, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "u long, v long, m0 long, m1 long, s0 long, s1 long")
+    # sets that share cells do so in many buckets: what the buckets found of a set is put together, packed
+    return (docs.mapInArrow(tiles, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, "slice int, edges binary, marks binary")
+            .groupBy("slice").applyInArrow(_total, "u long, v long, m0 long, m1 long, s0 long, s1 long"))
 
 
 def open_sets(found: DataFrame) -> DataFrame:

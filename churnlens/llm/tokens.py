@@ -82,6 +82,8 @@ class Pieces(dict):
 
     def _short(self, piece: str) -> bytes | None:
         """Ids of a plain word; None if the piece is not one."""
+        if piece.isascii() and piece.isalpha():  # nearly all: lower case is one to one, and normal
+            return self._model(piece.lower(), "") if self.kind == "dropped" else self._model(piece, "Ġ")
         if piece[-1] in _MARKS:  # the word before the mark may be known
             if not piece[:-1].lstrip("\n").isalpha():
                 return None
@@ -102,6 +104,10 @@ class Pieces(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
+        if self.short and piece[-1] in _MARKS:  # made of its word, which is kept: a piece less in the cache
+            ids = self._short(piece)
+            if ids is not None:
+                return ids
         ids = self.older.get(piece)
         if ids is None and self.short:
             ids = self._short(piece)
@@ -126,7 +132,7 @@ class Pieces(dict):
 
 
 #: Bytes of text encoded together.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Bytes that are or begin blanks other than space and new line: such texts are looked at one by one.
 _SUSPECT = np.zeros(256, dtype=bool)
 _SUSPECT[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -157,7 +163,7 @@ def _plain_rows(pieces: Pieces, column: pa.Array, data: np.ndarray, offsets: np.
 def _gather(held: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the numbered pieces one after the other, and each piece's length."""
     ids = np.frombuffer(b"".join(held), dtype="<u4")
-    lens = np.fromiter((len(x) // 4 for x in held), dtype=np.int64, count=len(held))
+    lens = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
     at = np.cumsum(lens) - lens
     size = lens[which]
     place = np.repeat(at[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -181,7 +187,7 @@ def encode_column(path: str, column) -> Iterator[np.ndarray]:
         which = np.asarray(words.indices).astype(np.int64)
         ends = np.asarray(split.offsets, dtype=np.int64)
         ends = ends - ends[0]
-        held = words.dictionary.to_pylist()
+        held = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # strings made in one go
         if pieces.kind == "kept":  # a text's first piece has no blank before it
             first, number = np.unique(which[ends[:-1]], return_inverse=True)
             rest = np.ones(len(which), dtype=bool)
